@@ -130,8 +130,10 @@ class Codec:
         first = next((i for i in ids if i not in self.silent), None)
         cut = first is not None and first not in self.byte_of and self.as_bytes[first][:1] == b" " and first not in self.unknown
         try:
+            if not self.silent.isdisjoint(ids[1:-1]):  # a control id ends a run of bytes
+                raise ValueError
             return b"".join([self.as_bytes[i] for i in ids]).decode()[cut:]
-        except UnicodeDecodeError:
+        except ValueError:
             runs = groupby(ids, key=self.byte_of.__contains__)
             return "".join(b"".join(self.as_bytes[i] for i in run).decode(errors="each_byte") for _, run in runs)[cut:]
 
