@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sentencepiece_codec, url_filter
+from . import mixing, quality_rules, sentencepiece_codec, simhash, url_filter
 
 QUERIES = {
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op6_mixing": mixing.op6_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_simhash": simhash.op8_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
