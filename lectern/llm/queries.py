@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sentencepiece_codec, simhash, url_filter
+from . import mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, url_filter
 
 QUERIES = {
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op6_mixing": mixing.op6_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_simhash": simhash.op8_simhash,
