@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, url_filter
+from . import mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash, url_filter
 
 QUERIES = {
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_simhash": simhash.op8_simhash,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
