@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash, url_filter
+from . import media, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, url_filter
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
+    "op2_media": media.op2_media,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op6_mixing": mixing.op6_mixing,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_sharding": sharding.OP1_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
 }
