@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, url_filter
+from . import media, mixing, personal_data, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_media": media.op2_media,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_personal_data": personal_data.op5_personal_data,
     "op6_mixing": mixing.op6_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_simhash": simhash.op8_simhash,

@@ -179,8 +179,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     return encoded.withColumn(text, F.pandas_udf(run, "string")(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip (whether decoding gives the text back)."""
+def digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """The columns of ``keep``, n_tokens, ids_sha256, decoded_sha256, round_trip (whether decoding gives the text back), and the ids if asked for."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
@@ -188,18 +188,17 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             texts = batch.fillna("").tolist()
             encoded = c.encode_batch(texts)
             decoded = [c.decode(x) for x in encoded]
+            ids = {"ids": [np.array(x, dtype=np.int32) for x in encoded]} if with_ids else {}
             yield pd.DataFrame({
                 "n_tokens": [len(x) for x in encoded],
                 "ids_sha256": [hashlib.sha256(np.array(x, dtype="<u4").tobytes()).hexdigest() for x in encoded],
                 "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
                 "round_trip": [a == b for a, b in zip(texts, decoded)],
-            })
+            } | ids)
 
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    return docs.select("doc_id", F.pandas_udf(run, kind)("text").alias("x")).select("doc_id", "x.*")
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
+    return docs.select(*keep, F.pandas_udf(run, kind)("text").alias("x")).select(*keep, "x.*")
 
 
 def op3_sentencepiece(spark, sf_dir):
-    # Small batches hold ids and texts of a few megabytes at a time, long documents included.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), model_path())
