@@ -117,24 +117,21 @@ class TarWriter:
 
 def store(docs: DataFrame, folder: str) -> DataFrame:
     """Writes the payloads of ``text`` and returns doc_id with digest, sizes, file, offset and length (already materialised)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         writer, seen = TarWriter(folder), {}
-        for b in batches:
+        for batch in batches:
             rows = []
-            for text in b.text:
+            for text in batch:
                 payload, n = payload_of(text)
                 digest = hashlib.sha256(payload).digest()
                 if digest not in seen:
                     seen[digest] = writer.add(f"{digest.hex()}.png", to_png(payload))
                 rows.append((digest, n, len(payload), *seen[digest]))
-            out = pd.DataFrame(rows, columns=["digest", "n_bytes", "payload_bytes", "file", "offset", "length"])
-            out.insert(0, "doc_id", b.doc_id.values)
-            yield out
+            yield pd.DataFrame(rows, columns=["digest", "n_bytes", "payload_bytes", "file", "offset", "length"])
         writer.close()
 
-    places = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {PLACE}")
+    places = docs.select("doc_id", F.pandas_udf(run, PLACE)("text").alias("p")).select("doc_id", "p.*")
     return stored(places, "media-rows")
 
 

@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, dimensions: in
 
     sample = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # One row for a doc_id that comes with several texts: any number of repeated rows can't outgrow the bound.
-    found = docs.join(F.broadcast(sample), "doc_id").mapInPandas(run, "doc_id long, quality int, terms binary").groupBy("doc_id", "quality").agg(F.min("terms").alias("terms"))
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(run, "doc_id long, quality int, terms binary").groupBy("doc_id", "quality").agg(F.min("terms").alias("terms"))
     got = found.orderBy("doc_id").collect()
     x = np.array([np.frombuffer(r.terms, dtype=np.float16) for r in got], dtype=np.float32).reshape(len(got), TERMS)
     y = np.array([r.quality for r in got], dtype=np.float32)
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, dimensions: in
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the score of every document, between 0 and 1."""
+    """Adds the score of every document, between 0 and 1, in place of any column of that name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -51,9 +51,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """Adds words w, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """doc_id, text -> the same with words w, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce("text", F.lit(""))
-    d = docs.withColumn("w", words(F.col("text")))
+    d = docs.select("doc_id", "text").withColumn("w", words(F.col("text")))
     n = F.size("w")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     windows = F.expr("case when size(w) < 5 then array() else transform(sequence(1, size(w) - 4), i -> xxhash64(w[i-1], w[i], w[i+1], w[i+2], w[i+3])) end")

@@ -72,10 +72,10 @@ def assign(docs: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFram
 
 
 def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
-    """Writes documents with distinct keys as Parquet, one folder for each shard, and returns the assignment."""
+    """Writes documents with distinct keys as Parquet, one folder for each shard in place of any column of that name, and returns the assignment."""
     placed = assign(docs, key, limit)
     of = placed.select(F.col(key), F.concat(F.lit("b"), "shard").alias("shard"))
-    docs.join(of, key).repartition("shard").write.partitionBy("shard").parquet(folder)
+    docs.drop("shard").join(of, key).repartition("shard").write.partitionBy("shard").parquet(folder)
     return placed
 
 
