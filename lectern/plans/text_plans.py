@@ -10,17 +10,20 @@ from lectern.functions import topics as tp
 from .base import query
 
 Q = "questions"
-TEXT = F.col("question_text")
+
+
+def _text():
+    return F.col("question_text")
 
 
 @query("X1_normalize", r"select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(question_text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') as text from questions", Q)
 def _(v):
-    return v.questions.select("id", t.normalize(TEXT).alias("text"))
+    return v.questions.select("id", t.normalize(_text()).alias("text"))
 
 
 @query("X2_needs_ocr", "select id, length(trim(question_text)) < 20 as needs_ocr from questions", Q)
 def _(v):
-    return v.questions.select("id", t.needs_ocr(TEXT).alias("needs_ocr"))
+    return v.questions.select("id", t.needs_ocr(_text()).alias("needs_ocr"))
 
 
 NAME = "(difficulty || case id % 5 when 0 then ' processes' when 1 then '-locks' when 2 then ' CPU' when 3 then ' Databases' else ' dictionaries' end || case when id % 7 = 0 then '  io' else '' end)"
@@ -78,17 +81,17 @@ def _(v):
 @query("X19_table_rows", r"""with l as (select id, list_filter(regexp_split_to_array(question_text, '\r?\n'), lambda x: trim(x) <> '' and not regexp_matches(x, '^[\s|:+=-]+$')) as ls from questions where question_text like '%|%')
 select id, len(ls) as n_rows, len(string_split(regexp_replace(trim(ls[1]), '^\||\|$', '', 'g'), case when contains(ls[1], '|') then '|' else ',' end)) as n_first from l""", Q)
 def _(v):
-    return v.questions.filter("question_text like '%|%'").select("id", t.table_rows(TEXT).alias("r")).select("id", F.size("r").cast("long").alias("n_rows"), F.size(F.col("r")[0]).cast("long").alias("n_first"))
+    return v.questions.filter("question_text like '%|%'").select("id", t.table_rows(_text()).alias("r")).select("id", F.size("r").cast("long").alias("n_rows"), F.size(F.col("r")[0]).cast("long").alias("n_first"))
 
 
 @query("X20_table_summary")
 def _(v):
-    return v.questions.select("id", t.table_summary(t.table_rows(TEXT)).alias("summary"))
+    return v.questions.select("id", t.table_summary(t.table_rows(_text())).alias("summary"))
 
 
 @query("X21_math_expressions")
 def _(v):
-    return v.questions.select("id", F.array_join(t.math_expressions(TEXT), ";").alias("expressions"))
+    return v.questions.select("id", F.array_join(t.math_expressions(_text()), ";").alias("expressions"))
 
 
 @query("X22_image_text", "select id, 'Figure ' || start_page || ' (graph): ' || case when id % 2 = 0 then subject else 'image ' || substr(sha256(document_id), 1, 8) end as text from questions", Q)
@@ -98,12 +101,12 @@ def _(v):
 
 @query("X23_tokens", "with x as (select id, list_filter(regexp_split_to_array(lower(question_text), '[^a-z0-9]+'), lambda x: x <> '') as w from questions) select id, len(w) as n, sha256(array_to_string(w, ' ')) as words from x", Q)
 def _(v):
-    return v.questions.select("id", t.tokens(TEXT).alias("w")).select("id", F.size("w").cast("long").alias("n"), F.sha2(F.array_join("w", " "), 256).alias("words"))
+    return v.questions.select("id", t.tokens(_text()).alias("w")).select("id", F.size("w").cast("long").alias("n"), F.sha2(F.array_join("w", " "), 256).alias("words"))
 
 
 @query("X23_study_tokens", f"with x as (select id, list_filter(regexp_split_to_array(lower(question_text), '[^a-z0-9]+'), lambda x: length(x) >= 3 and x not in ({', '.join(repr(s) for s in t.STUDY_STOP_WORDS)})) as w from questions) select id, len(w) as n, sha256(array_to_string(w, ' ')) as words from x", Q)
 def _(v):
-    return v.questions.select("id", t.study_tokens(TEXT).alias("w")).select("id", F.size("w").cast("long").alias("n"), F.sha2(F.array_join("w", " "), 256).alias("words"))
+    return v.questions.select("id", t.study_tokens(_text()).alias("w")).select("id", F.size("w").cast("long").alias("n"), F.sha2(F.array_join("w", " "), 256).alias("words"))
 
 
 @query("X24_safe_name", "select page_id, case when page_id % 3 = 0 then 'a_b c.pdf' when page_id % 3 = 1 then 'document.pdf' else 'x_.html' end as name from pages")
@@ -114,22 +117,22 @@ def _(v):
 
 @query("X25_redact")
 def _(v):
-    return v.questions.filter("id % 2 = 0 or question_text not like '%@%'").select("id", t.redact(TEXT).alias("text")).filter("text not like '%@%'")
+    return v.questions.filter("id % 2 = 0 or question_text not like '%@%'").select("id", t.redact(_text()).alias("text")).filter("text not like '%@%'")
 
 
 @query("X26_embedding_input", "select id, 'Subject: ' || subject || chr(10) || chr(10) || 'Topics:' || chr(10) || '- a' || chr(10) || '- ' || document_id || chr(10) || chr(10) || 'Question:' || chr(10) || question_text as input from questions", Q)
 def _(v):
-    return v.questions.select("id", t.embedding_input(F.col("subject"), F.array("document_id", F.lit("a")), TEXT).alias("input"))
+    return v.questions.select("id", t.embedding_input(F.col("subject"), F.array("document_id", F.lit("a")), _text()).alias("input"))
 
 
 @query("X27_content_hash", "select id, sha256(question_text) as hash from questions", Q)
 def _(v):
-    return v.questions.select("id", t.content_hash(TEXT).alias("hash"))
+    return v.questions.select("id", t.content_hash(_text()).alias("hash"))
 
 
 @query("X28_cache_key", "select id, substr(sha256(encode(subject) || '\\x00'::blob || encode(question_text)), 1, 32) as key from questions", Q)
 def _(v):
-    return v.questions.select("id", t.cache_key(F.col("subject"), TEXT).alias("key"))
+    return v.questions.select("id", t.cache_key(F.col("subject"), _text()).alias("key"))
 
 
 @query("X29_option_list", "select id, case when id % 3 = 2 then '' else 'a,b,c,' || subject end as options from questions", Q)
@@ -152,7 +155,7 @@ def _(v):
 
 @query("X32_truncate", "select id, case when length(question_text) > 40 then substr(question_text, 1, 40) || '...' else question_text end as text from questions", Q)
 def _(v):
-    return v.questions.select("id", t.truncate(TEXT, 40).alias("text"))
+    return v.questions.select("id", t.truncate(_text(), 40).alias("text"))
 
 
 @query("X33_clamp_labels", "select id, 'x:' || case when id % 3 = 0 then '1.0' when id % 3 = 1 then '0.0' else '0.5' end || ':' || subject as labels from questions", Q)
