@@ -130,8 +130,8 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int, method: str = "weighted"
 
 
 def rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, boost: Column) -> DataFrame:
-    """R12. Adds a boost to the scores, from columns query and text, and ranks anew; boosts chain."""
-    rows = hits.drop("rank").join(queries.select("query_id", "query"), "query_id").join(corpus.select("id", "text"), "id")
+    """R12. Adds a boost to the scores, from columns query and text, and ranks anew; boosts chain. A hit without a text keeps its score."""
+    rows = hits.drop("rank").join(queries.select("query_id", "query"), "query_id", "left").join(corpus.select("id", "text"), "id", "left")
     return ranked(rows.withColumn("score", F.round(F.col("score") + boost, 8)).drop("query", "text"))
 
 

@@ -25,7 +25,7 @@ CTE = """qs as (select id as query_id, array_to_string(list_filter(regexp_split_
   hw as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from fw) where rank <= 10),
   fr as (select query_id, id, round(coalesce(1.0 / (60 + vr.rank), 0)::double + coalesce(1.0 / (60 + kr.rank), 0)::double, 8) as score from vr full outer join kr using (query_id, id)),
   hr as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from fr) where rank <= 10),
-  xb as (select query_id, id, round(hw.score + case when contains(lower(question_text), trim(query)) then 0.1 else 0 end, 8) as score, sources from hw join qs using (query_id) join questions using (id)),
+  xb as (select query_id, id, round(hw.score + case when contains(lower(question_text), trim(query)) then 0.1 else 0 end, 8) as score, sources from hw left join qs using (query_id) left join questions using (id)),
   xr as (select *, row_number() over (partition by query_id order by score desc, id) as rank from xb),
   rel as (select query_id, question_id as id from vectors join qv using (label)),
   ls as (select 'vector' as strategy, query_id, id, rank from vr union all select 'keyword', query_id, id, rank from kr union all select 'hybrid', query_id, id, rank from hw union all select 'hybrid+rerank', query_id, id, rank from xr
