@@ -38,6 +38,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Python workers get texts by a thousand rows at most: a few megabytes, and long ones are rare."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def words(text):
     """Words of a text column as an array; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")

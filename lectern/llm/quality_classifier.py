@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 FIT_ROWS, DIMENSIONS, NEIGHBOURS, THRESHOLD = 3000, 32, 25, 0.7
 PAIRS, WORDS, SHAPES = 1024, 1024, 32
 TERMS = PAIRS + WORDS + SHAPES
@@ -98,6 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, dimensions: in
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the score of every document, between 0 and 1, in place of any column of that name."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -28,9 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = "▁"
-#: Parts kept in a worker's cache, and the longest part that is kept.
-CACHE_PARTS, CACHE_CHARS = 1_200_000, 40
+#: Parts in each of a worker's two caches, and the longest part that is kept.
+CACHE_PARTS, CACHE_CHARS = 150_000, 40
+SLICE_CHARS = 300_000
 #: Up to this length an agenda is a plain list; so many parts are checked at a time.
 SHORT_CHARS, NEVER, CHECKED = 32, float("inf"), 32
 
@@ -56,7 +59,9 @@ class Codec:
         self.id_of = {self.pieces[i]: i for i in normal}
         self.cost = {self.pieces[i]: -sp.get_score(i) for i in normal}
         self.inside = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
-        self.cache: dict[str, list[int]] = {}
+        # Parts used lately, and those used before them: what recurs moves back, the rest goes.
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def merged(self, part: str) -> list[str]:
@@ -104,10 +109,16 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text with begin and end. Parts new to the cache are checked against the library."""
         split = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_PARTS:
-            cache.clear()
-        new = [p for p in dict.fromkeys(p for parts in split for p in parts) if p not in cache]
+        if len(self.recent) > CACHE_PARTS:
+            self.recent, self.older = {}, self.recent
+        known, new = {}, []
+        for p in dict.fromkeys(p for parts in split for p in parts):
+            if (ids := self.recent.get(p)) is None and (ids := self.older.get(p)) is not None:
+                self.recent[p] = ids
+            if ids is None:
+                new.append(p)
+            else:
+                known[p] = ids
         found = [self.ids(p) for p in new]
         # The library puts a U+2581 in front of what it is given; every part begins with one.
         # No piece reaches from one part into the next, unless a part is all blanks; so a run of others is checked as one text.
@@ -118,14 +129,15 @@ class Codec:
             if ids != [i for k in group for i in found[k]]:
                 raise ValueError(f"the agenda and the library differ within {[new[k] for k in group]!r}"[:2000])
         fresh = dict(zip(new, map(tuple, found)))
+        self.recent.update((p, i) for p, i in fresh.items() if len(p) <= CACHE_CHARS)
+        known.update(fresh)
         out = []
         for parts in split:
             ids = [self.begin]
             for p in parts:
-                ids += fresh[p] if p in fresh else cache[p]
+                ids += known[p]
             ids.append(self.end)
             out.append(ids)
-        cache.update((p, i) for p, i in fresh.items() if len(p) <= CACHE_CHARS)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -141,6 +153,19 @@ class Codec:
             return "".join(b"".join(self.as_bytes[i] for i in run).decode(errors="each_byte") for _, run in runs)[cut:]
 
 
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in runs of about ``SLICE_CHARS`` characters, which bounds what is split and encoded at a time."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > SLICE_CHARS:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -163,7 +188,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
         for batch in batches:
-            yield pd.Series([np.array(x, dtype=np.int32) for x in c.encode_batch(batch.fillna("").tolist())])
+            yield pd.Series([np.array(x, dtype=np.int32) for run in slices(batch.fillna("").tolist()) for x in c.encode_batch(run)])
 
     return docs.withColumn(ids, F.pandas_udf(run, "array<int>")(F.col(text)))
 
@@ -182,22 +207,23 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
 def digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """The columns of ``keep``, n_tokens, ids_sha256, decoded_sha256, round_trip (whether decoding gives the text back), and the ids if asked for."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    small_batches(docs.sparkSession)
+
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            encoded = c.encode_batch(texts)
-            decoded = [c.decode(x) for x in encoded]
-            ids = {"ids": [np.array(x, dtype=np.int32) for x in encoded]} if with_ids else {}
-            yield pd.DataFrame({
-                "n_tokens": [len(x) for x in encoded],
-                "ids_sha256": [hashlib.sha256(np.array(x, dtype="<u4").tobytes()).hexdigest() for x in encoded],
-                "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
-                "round_trip": [a == b for a, b in zip(texts, decoded)],
-            } | ids)
+            rows, ids = [], []
+            for run in slices(batch.fillna("").tolist()):
+                for text, x in zip(run, c.encode_batch(run)):
+                    decoded, packed = c.decode(x), np.array(x, dtype="<u4")
+                    rows.append((len(x), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text))
+                    if with_ids:
+                        ids.append(packed.view(np.int32))
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+            yield out.assign(ids=ids) if with_ids else out
 
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(*keep, F.pandas_udf(run, kind)("text").alias("x")).select(*keep, "x.*")
+    return docs.select(*keep, F.pandas_udf(digest, kind)("text").alias("x")).select(*keep, "x.*")
 
 
 def op3_sentencepiece(spark, sf_dir):
