@@ -152,3 +152,17 @@ def topic_subject(requests: DataFrame, topics: DataFrame) -> DataFrame:
     known = topics.groupBy(F.lower("name").alias("key")).agg(F.min("subject").alias("known"))
     rows = requests.withColumn("key", F.lower(F.trim("topic"))).join(known, "key", "left")
     return rows.withColumn("subject", F.coalesce(blank_to_null(F.col("subject")), "known")).drop("key", "known")
+
+
+def hybrid_sources(lists: DataFrame, n: int, excluded: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Q1. Ranked lists (request_id, topic_no, id, rank), one for each topic of a request -> its first n sources.
+
+    Ids are excluded, or restricted, before the cut; a source that several topics find counts once, at its first place.
+    """
+    if excluded is not None:
+        lists = lists.join(excluded.select("id"), "id", "left_anti")
+    if only is not None:
+        lists = lists.join(only.select("id"), "id", "left_semi")
+    first = lists.groupBy("request_id", "id").agg(F.min(F.struct("topic_no", "rank")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("at", "id"))
+    return first.withColumn("place", place).filter(F.col("place") <= n).select("request_id", "id", "place")

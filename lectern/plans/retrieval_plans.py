@@ -223,3 +223,12 @@ def _(v):
     topics = v.question_topics.select(F.col("topic_id").alias("id"), F.col("topic_id").alias("name")).distinct()
     hits = r.fuse(vr, kr, 10).withColumnRenamed("id", "question_id")
     return bank.first_topic(hits, v.question_topics, topics).select("query_id", F.col("question_id").alias("id"), "score", "topic")
+
+
+@query("Q1_hybrid_sources", f"with {CTE}, g as (select query_id % 4 as request_id, id, min(struct_pack(v := query_id, r := rank)) as a from hw where id % 7 <> 0 group by all) select request_id, id, place from (select *, row_number() over (partition by request_id order by a, id) as place from g) where place <= 8", *BASE)
+def _(v):
+    from lectern.operators.quiz import hybrid_sources
+
+    *_, vr, kr = _branches(v)
+    lists = r.fuse(vr, kr, 10).select((F.col("query_id") % 4).alias("request_id"), F.col("query_id").alias("topic_no"), "id", "rank")
+    return hybrid_sources(lists, 8, v.vectors.filter("question_id % 7 = 0").select(F.col("question_id").alias("id")))
