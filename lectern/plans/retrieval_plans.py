@@ -231,4 +231,5 @@ def _(v):
 
     *_, vr, kr = _branches(v)
     lists = r.fuse(vr, kr, 10).select((F.col("query_id") % 4).alias("request_id"), F.col("query_id").alias("topic_no"), "id", "rank")
-    return hybrid_sources(lists, 8, v.vectors.filter("question_id % 7 = 0").select(F.col("question_id").alias("id")))
+    excluded = v.vectors.select(F.col("question_id").alias("id")).unionByName(v.questions.select("id")).filter("id % 7 = 0")
+    return hybrid_sources(lists, 8, excluded)
