@@ -56,10 +56,10 @@ def with_events(rules: DataFrame) -> DataFrame:
     )).alias("e")).select("e.*")
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", default: str = "allow", rows_per_slice: int = 1_000_000) -> DataFrame:
     """id, url -> id, host, path, rule, verdict."""
     spark = pages.sparkSession
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, -(-pages.count() // rows_per_slice))
     p = pages.select(F.col(id_col).alias("id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("url").alias("h"))
     p = p.withColumn("slice", F.pmod(F.xxhash64("id", "h"), F.lit(slices)))
     labels = F.split("host", r"\.")
