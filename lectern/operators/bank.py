@@ -145,11 +145,14 @@ def first_topic(hits: DataFrame, links: DataFrame, topics: DataFrame) -> DataFra
 
 
 def nearest_above(images: DataFrame, questions: DataFrame) -> DataFrame:
-    """J11. Each image's closest question above it on its page; of those at one height the smallest id."""
-    q = questions.select("document_id", "page_number", F.col("id").alias("question_id"), F.col("y").alias("question_y"))
-    pairs = images.join(q, ["document_id", "page_number"]).filter(F.col("question_y") >= F.col("y"))
-    best = pairs.groupBy("image_id").agg(F.min(F.struct((F.col("question_y") - F.col("y")).alias("distance"), "question_id")).alias("b"))
-    return images.select("image_id").join(best, "image_id", "left").select("image_id", F.col("b.question_id").alias("question_id"))
+    """J11. Each image's closest question above it on its page; of those at one height the smallest id.
+
+    Both are sorted together from the top of the page down, and each image takes the last question before it: no pairs are made.
+    """
+    q = questions.select("document_id", "page_number", "y", F.lit(0).alias("side"), F.col("id").alias("question_id"), F.lit(None).cast(images.schema["image_id"].dataType).alias("image_id"))
+    i = images.select("document_id", "page_number", "y", F.lit(1).alias("side"), F.lit(None).cast(questions.schema["id"].dataType).alias("question_id"), "image_id")
+    down = Window.partitionBy("document_id", "page_number").orderBy(F.desc("y"), "side", F.desc("question_id")).rowsBetween(Window.unboundedPreceding, 0)
+    return q.unionByName(i).withColumn("question_id", F.last("question_id", ignorenulls=True).over(down)).filter("side = 1").select("image_id", "question_id")
 
 
 def exclude(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -19,7 +19,10 @@ def review_key(attempts: DataFrame) -> DataFrame:
 
 
 def schedule_fold(attempts: DataFrame, *keys: str) -> DataFrame:
-    """W6 as a replay of each question's attempts in time. A wrong answer resets the streak and costs 0.2 of ease, down to 1.3."""
+    """W6 as a replay of each question's attempts in time. A wrong answer resets the streak and costs 0.2 of ease, down to 1.3.
+
+    It gathers each key's history, so it is for keys of a bounded one; ``schedule`` gives the same by aggregates.
+    """
     rows = review_key(attempts).groupBy(*keys, "key").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "is_correct"))).alias("log"))
     state = F.expr("""aggregate(log, struct(0 as reps, 0D as days, 2.5D as ease),
         (s, x) -> if(x.is_correct,

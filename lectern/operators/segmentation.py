@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bank import nearest_above
+
 #: Fixed patterns: how questions, options, parts and headers begin, and words that tell a question's type.
 START = r"(?i)^\s*(?:Q\s*\.?\s*|Question\s+)?(\d+)\s*[\.\)\:\-]?\s*(.*)"
 STRICT = r"(?i)^\s*(?:Q\s*\.?\s*\d+[\.\)\:\-]?\s+|Question\s+\d+[\.\)\:\-]?\s+|\d+[\.\)]\s+).*"
@@ -256,8 +258,8 @@ def offsets(questions: DataFrame, pages: DataFrame) -> DataFrame:
 def image_questions(questions: DataFrame, images: DataFrame) -> DataFrame:
     """X13, J11. Images (document_id, page_number, name, y) -> the question above each one: by height 700, 540, 380, ... on the page in order, else the page's first."""
     order = Window.partitionBy("document_id", "start_page").orderBy("position")
-    placed = questions.select("document_id", F.col("start_page").alias("page_number"), "position", (700 - 160 * (F.row_number().over(order) - 1)).alias("question_y"))
-    pairs = images.join(placed, ["document_id", "page_number"])
-    above = F.col("question_y") >= F.col("y")
-    best = F.min(F.struct((~above).alias("below"), F.when(above, F.col("question_y") - F.col("y")).otherwise(F.col("position")).alias("distance"), "position"))
-    return pairs.groupBy("document_id", "page_number", "name").agg(best.alias("b")).select("document_id", "page_number", "name", F.col("b.position").alias("position"))
+    placed = questions.select("document_id", F.col("start_page").alias("page_number"), F.col("position").alias("id"), (700 - 160 * (F.row_number().over(order) - 1)).alias("y"))
+    keyed = images.withColumn("image_id", F.struct("document_id", "page_number", "name"))
+    above = nearest_above(keyed, placed).select("image_id.*", F.col("question_id").alias("above"))
+    first = placed.groupBy("document_id", "page_number").agg(F.min("id").alias("first"))
+    return above.join(first, ["document_id", "page_number"]).select("document_id", "page_number", "name", F.coalesce("above", "first").alias("position"))

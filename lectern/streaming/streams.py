@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,9 +20,11 @@ def ingest_pages(pages: DataFrame, table: str, checkpoint: str):
     def add(batch: DataFrame, _: int) -> None:
         new = batch.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["document_id", "page_number", "hash"])
         spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.schema(new.schema).parquet(table).select("document_id", "page_number", "hash"), ["document_id", "page_number", "hash"], "left_anti").select(new.columns)
+        try:
+            old = spark.read.schema(new.schema).parquet(table)
+        except AnalysisException:  # no table yet
+            old = new.limit(0)
+        new = new.join(old.select("document_id", "page_number", "hash"), ["document_id", "page_number", "hash"], "left_anti").select(new.columns)
         new.write.mode("append").parquet(table)
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
