@@ -29,7 +29,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near duplicates."""
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
     first = stored(found.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "first")
-    kept = docs.alias("d").join(first.select(F.col("doc_id").alias("first_id")), F.expr("d.doc_id <=> first_id"), "left_semi")
+    # As many ids as documents stay, so neither side is broadcast at any size.
+    kept = docs.alias("d").join(first.select(F.col("doc_id").alias("first_id")).hint("merge"), F.expr("d.doc_id <=> first_id"), "left_semi")
     # Rows that share a doc_id are one document.
     return kept if first.filter("copies > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
@@ -44,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives each document as many rows as the mix takes of it."""
     taken = mixing.mix(docs.select("doc_id", "text", "source")).filter("epochs > 0")
     taken = taken.groupBy("doc_id").agg(F.max("epochs").cast("int").alias("mix_epochs")).withColumnRenamed("doc_id", "mix_id")
-    rows = docs.join(taken, docs.doc_id.eqNullSafe(taken.mix_id))
+    rows = docs.join(taken.hint("merge"), docs.doc_id.eqNullSafe(taken.mix_id))
     return rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), "mix_epochs"))).select(*docs.columns)
 
 
