@@ -87,10 +87,10 @@ def test_mix_by_hand(spark):
 
 
 def test_rules_nest_and_ties_go_to_the_longer_host(spark):
-    pages = spark.createDataFrame([(1, "http://a.b/xyz"), (2, "http://q.a.b/xy"), (3, "http://b/x"), (4, "http://c/x")], "page_id long, url string")
+    pages = spark.createDataFrame([(5, "http://b/x\U0010ffffy"), (6, "http://q\x01b/x"), (1, "http://a.b/xyz"), (2, "http://q.a.b/xy"), (3, "http://b/x"), (4, "http://c/x")], "page_id long, url string")
     rules = spark.createDataFrame([("block", "b", "/x"), ("allow", "b", "/xyz"), ("block", "a.b", "/x"), ("allow", "b", "/x")], "action string, host string, path string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules, default="block").collect()}
-    assert got == {1: ("a.b/x", "block"), 2: ("a.b/x", "block"), 3: ("b/x", "block"), 4: (None, "block")}
+    assert got == {1: ("a.b/x", "block"), 2: ("a.b/x", "block"), 3: ("b/x", "block"), 4: (None, "block"), 5: ("b/x", "block"), 6: (None, "block")}
 
 
 def test_media_round_trip_and_headers(spark, tmp_path):
@@ -226,3 +226,23 @@ def test_simhash_against_all_pairs(spark):
     fps = [int(x.fingerprint, 16) for x in rows]
     own = _classes([x - (1 << 64) if x >> 63 else x for x in fps])
     assert [x.component_id for x in rows] == [rows[k].doc_id for k in own]
+
+
+def test_fixed_secrets_by_hand(spark):
+    import random
+    import re
+
+    r = random.Random(11)
+    bits = ["PassWord", "token", "API_KEY", "apikey", "secret", '"', "'", " ", ":", "=", "abcdefgh", "x", "AKIA", "AKIA1234567890AB", "ABC9", "0123456789abcdef" * 2, "deadbeef", "-", ".", "\n", "é", "🙂", "/+"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 30))) for _ in range(400)] + ["token=abcdefghi " * 500]
+
+    def base(t):
+        out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+        out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        return sorted(out)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in secret_scan.scan(docs).collect():
+        assert [(x.s, x.o, x.kind, x.e) for x in row.base] == base(texts[row.doc_id]), texts[row.doc_id]
+        assert all(not any(b.s < x.e and b.e > x.s for b in row.base) for x in row.random)
