@@ -21,7 +21,7 @@ from .common import words
 
 BUCKETS = 16_384
 TRUSTED_DOCS = 20_000
-THRESHOLD = -0.5
+THRESHOLD = -0.25
 SYMBOLS = r"[#*$%&|<>]"
 
 

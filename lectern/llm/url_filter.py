@@ -2,8 +2,8 @@
 
 A rule (action, host, path) fits its host and all subdomains where the url's path starts with the rule's
 path. A canonical key is the host's labels from last to first, each closed by U+0001, then U+0002 and the path;
-then the urls that a rule fits at one host are exactly those with keys from the rule's key up to that key plus
-U+10FFFF: an interval. Intervals nest or are apart. A url has one key for each suffix of its host.
+then the urls that a rule fits at one host are exactly those with keys, as UTF-8 bytes, from the rule's key up to that
+key plus a byte 255: an interval. Intervals nest or are apart. A url has one key for each suffix of its host.
 
 Keys and interval ends are sorted together and swept once: the start of an interval pushes its rule, its end
 pops back to the enclosing rule (found by an equi-join on the rules' own prefixes), so the last event before a
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-LABEL, PATH, LAST = "\u0001", "\u0002", "\U0010ffff"
+LABEL, PATH = "\u0001", "\u0002"
 
 
 def host_of(url):
@@ -39,7 +39,7 @@ def path_of(url):
 
 
 def key_of(host, path):
-    labels = F.reverse(F.split(host, r"\."))
+    labels = F.reverse(F.split(F.translate(host, LABEL + PATH, "  "), r"\."))
     return F.concat(F.array_join(labels, LABEL), F.lit(LABEL + PATH), path)
 
 
@@ -51,8 +51,8 @@ def with_events(rules: DataFrame) -> DataFrame:
     outer = ahead.join(rules.select(F.col("start").alias("outer"), F.col("found").alias("above")), "outer").groupBy("start").agg(F.max_by("above", F.length("outer")).alias("above"))
     rules = rules.join(outer, "start", "left")
     return rules.select(F.explode(F.array(
-        F.struct(F.col("start").alias("key"), F.lit(1).alias("side"), F.length("start").alias("depth"), F.col("found")),
-        F.struct(F.concat("start", F.lit(LAST)).alias("key"), F.lit(0).alias("side"), (-F.length("start")).alias("depth"), F.col("above").alias("found")),
+        F.struct(F.col("start").cast("binary").alias("key"), F.lit(1).alias("side"), F.length("start").alias("depth"), F.col("found")),
+        F.struct(F.concat(F.col("start").cast("binary"), F.unhex(F.lit("FF"))).alias("key"), F.lit(0).alias("side"), (-F.length("start")).alias("depth"), F.col("above").alias("found")),
     )).alias("e")).select("e.*")
 
 
@@ -64,7 +64,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", default:
     p = p.withColumn("slice", F.pmod(F.xxhash64("id", "h"), F.lit(slices)))
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = p.withColumn("at", F.explode(hosts)).select("slice", key_of(F.col("at"), F.col("path")).alias("key"), F.lit(2).alias("side"), F.lit(0).alias("depth"), "id", "host", "path")
+    keys = p.withColumn("at", F.explode(hosts)).select("slice", key_of(F.col("at"), F.col("path")).cast("binary").alias("key"), F.lit(2).alias("side"), F.lit(0).alias("depth"), "id", "host", "path")
     events = with_events(rules).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
     mark = F.struct(F.col("found"))
     sweep = keys.withColumn("mark", F.lit(None).cast("struct<found:struct<size:int,host_size:int,rule:string,action:string>>")).unionByName(
