@@ -179,7 +179,7 @@ def test_quality_rules_by_hand(spark):
     from collections import Counter
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    for r in quality_rules.judge(docs, [0.0] * 64).join(docs, "doc_id").select("doc_id", docs.text, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect():
+    for r in quality_rules.judge(docs, [0.0] * 64).drop("text").join(docs, "doc_id").select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", r.text)
         windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         covered = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
