@@ -217,9 +217,6 @@ def _(v):
     return b.answered(v.questions, v.attempts, 7)[1].select("id")
 
 
-MAPPING = "select id as source_id, replace(replace(id, 'X', ''), 's', '') as target_id from topics where id like '%X'"
-
-
 @query("U8_merge_topics", """select question_id, case when topic_id like '%X' then replace(topic_id, 'X', '') else topic_id end as topic_id, max(confidence) as confidence from question_topics group by 1, 2""", "question_topics", "topics")
 def _(v):
     mapping = v.topics.filter("id like '%X'").selectExpr("id as source_id", "replace(id, 'X', '') as target_id")

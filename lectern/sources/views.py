@@ -7,10 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPARK = {"k": "cast(get_json_object(props, '$.k') as int)", "day": "date_format(ts, 'yyyy-MM-dd')", "long": "bigint", "later": "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, doc_id)", "first2": "filter(split(lower(text), '[^a-z0-9]+'), x -> length(x) >= 3)", "pick": "get", "second": "", "at": "concat('day ', date_format(o_orderdate, 'yyyy-MM-dd'))"}
-DUCK = {"k": "cast(json_extract_string(props, '$.k') as int)", "day": "strftime(ts, '%Y-%m-%d')", "long": "bigint", "later": "timestamp '2024-01-01 00:00:00' + to_seconds(doc_id)", "first2": "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3)", "pick": "get", "second": "", "at": "concat('day ', strftime(o_orderdate, '%Y-%m-%d'))"}
-
-TOPICS = ("click", "view", "purchase", "signup", "error")
+SPARK = {
+    "k": "cast(get_json_object(props, '$.k') as int)",
+    "day": "date_format(ts, 'yyyy-MM-dd')",
+    "later": "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, doc_id)",
+}
+DUCK = {
+    "k": "cast(json_extract_string(props, '$.k') as int)",
+    "day": "strftime(ts, '%Y-%m-%d')",
+    "later": "timestamp '2024-01-01 00:00:00' + to_seconds(doc_id)",
+}
 
 VIEWS = {
     "attempts": """select event_id as id, user_id, concat(user_id, '-', {day}) as session_id,
