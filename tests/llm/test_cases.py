@@ -156,6 +156,24 @@ def test_random_keys_are_found(spark):
     assert sum(map(len, found.values())) <= 5
 
 
+@pytest.mark.parametrize("words", [0, 3])
+def test_random_key_is_found_with_few_words(spark, words):
+    import random
+
+    r = random.Random(5)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(64))
+    texts = [f"see {w} end" for w in ["riverstonemarketwinter", "gardenletterpeopleunder", "somewhereoverthemountain"][:words]] + [f"key {key} end"]
+    found = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: [texts[x.doc_id][y.s : y.e] for y in x.random] for x in found if x.random} == {words: [key]}
+
+
+def test_every_length_class_has_a_null(spark):
+    lengths = [20, 22, 23, 32, 64, 100, 500, 4096, 9000]
+    tested = secret_scan.runs(spark.createDataFrame([(("qZ7" * n)[:n],) for n in lengths], "text string"))
+    assert [r[0] for r in secret_scan.null_table(tested)] == list(range(8, 25))
+    assert {r["class"] for r in secret_scan.thresholds(tested)} == {r["class"] for r in tested.collect()}
+
+
 def test_library_decodes_alike():
     import random
 
