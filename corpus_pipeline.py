@@ -4,13 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 documents. ``run`` applies them in order; between stages rows are written as Parquet in the shared folder and read back.
 
 Defined results: null texts pass as null until the last stage encodes them as empty; a document of a group of near
-duplicates stays if its doc_id is the smallest; a document that the mix repeats comes as so many rows; an
-empty table gives an empty result; extra columns of documents are kept up to the last stage.
+duplicates stays if its doc_id is the smallest, nulls last; among rows that share an id, or have none, the hash of
+the whole row decides, so different texts under one id all stay and a rerun keeps the same rows; a document that
+the mix repeats comes as so many rows; an empty table gives an empty result; extra columns of documents are kept
+up to the last stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import mixing, personal_data, quality_classifier, sentencepiece_codec, simhash
@@ -25,14 +27,22 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("quality_score") >= quality_classifier.THRESHOLD).select(*docs.columns)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """The MD5 of a whole row: a key of its own for every document, with or without a doc_id."""
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    return F.unhex(F.md5(F.concat_ws(" ", F.md5("text"), others)))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = stored(found.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "first")
-    # As many ids as documents stay, so neither side is broadcast at any size.
-    kept = docs.alias("d").join(first.select(F.col("doc_id").alias("first_id")).hint("merge"), F.expr("d.doc_id <=> first_id"), "left_semi")
-    # Rows that share a doc_id are one document.
-    return kept if first.filter("copies > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """Keeps one document of each group of near duplicates: the smallest by doc_id, nulls last, then by the hash of the row."""
+    key = F.struct(F.col("doc_id").isNull().alias("unnumbered"), F.col("doc_id").alias("id"), row_hash(docs).alias("hash"))
+    found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    first = stored(found.filter("doc_id = component_id").groupBy(F.col("doc_id.hash").alias("first_hash")).agg(F.count("*").alias("copies")), "first")
+    # As many rows as documents stay, so neither side is broadcast at any size.
+    hashed = docs.withColumn("row_hash", row_hash(docs))
+    kept = hashed.join(first.select("first_hash").hint("merge"), F.expr("row_hash = first_hash"), "left_semi")
+    # Rows that share a hash are alike in all columns.
+    return (kept if first.filter("copies > 1").isEmpty() else kept.dropDuplicates(["row_hash"])).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +53,12 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives each document as many rows as the mix takes of it."""
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).filter("epochs > 0")
-    taken = taken.groupBy("doc_id").agg(F.max("epochs").cast("int").alias("mix_epochs")).withColumnRenamed("doc_id", "mix_id")
-    rows = docs.join(taken.hint("merge"), docs.doc_id.eqNullSafe(taken.mix_id))
+    hashed = docs.withColumn("row_hash", row_hash(docs))
+    # Documents without an id are dealt by their hash, each on its own.
+    named = hashed.select(F.coalesce(F.col("doc_id").cast("string"), F.hex("row_hash")).alias("doc_id"), "text", "source", "row_hash")
+    taken = mixing.mix(named, keep=("row_hash",)).filter("epochs > 0")
+    taken = taken.groupBy(F.col("row_hash").alias("mix_hash")).agg(F.max("epochs").cast("int").alias("mix_epochs"))
+    rows = hashed.join(taken.hint("merge"), F.expr("row_hash = mix_hash"))
     return rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), "mix_epochs"))).select(*docs.columns)
 
 

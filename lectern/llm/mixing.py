@@ -58,11 +58,11 @@ def quality_weight(text, size):
     return F.greatest(F.lit(0.25), 1 / (1 + 4 * symbols / F.greatest(size, F.lit(1))))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """doc_id, text, source -> doc_id, source, size, source_size, target, epochs, taken (words, repeats counted)."""
+def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, source -> doc_id, source, size, source_size, target, epochs, taken (words, repeats counted), and the columns of keep, which settle the last ties."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    slim = docs.select("doc_id", "source", size.alias("size"), "text")
-    slim = slim.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("text"), F.col("size"))).alias("key"))
+    slim = docs.select("doc_id", "source", size.alias("size"), "text", *keep)
+    slim = slim.select("doc_id", "source", "size", *keep, (-F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("text"), F.col("size"))).alias("key"))
     slim = stored(slim, "mix")
     sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, limit)
     sources = stored(sources, "mix-sources")
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
     rows = rows.withColumn("range", F.least(ranges - 1, F.floor(ranges * (1 - F.exp(-F.col("key"))))))
     each = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     offsets = each.select("source", "range", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside))
     rows = rows.alias("d").join(offsets.alias("o"), F.expr("d.source <=> o.source and d.range = o.range")).select("d.*", "offset")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
     rest = F.col("target") - F.col("full") * F.col("source_size")
     extra = (F.col("offset") + F.col("upto") - F.col("size") / 2 <= rest) & (rest > 0) & (F.col("size") > 0)
     rows = rows.withColumn("epochs", F.col("full") + F.when(extra, 1).otherwise(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).cast("long").alias("taken"), *keep)
 
 
 def op6_mixing(spark, sf_dir):

@@ -75,6 +75,21 @@ def test_pipeline_on_odd_tables(spark, folders, folder):
         assert rows == []
 
 
+def test_only_near_copies_go(spark):
+    texts = {k: " ".join(f"{w}{k}" for w in ("river", "stone", "market", "winter", "people", "garden", "letter", "window") * 3) for k in range(6)}
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[2], "b"), (None, texts[2], "b"), (None, texts[3], "b"), (3, texts[3], "c"), (7, texts[4], "c"), (7, texts[5], "c"), (8, texts[4], "c"), (8, texts[4], "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[3]), (7, texts[4]), (7, texts[5])], key=repr)
+    kept = corpus_pipeline.stored(corpus_pipeline.deduplicate(spark, docs, ""), "kept")
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == want
+    assert kept.columns == docs.columns
+    # Nor does the mix treat rows that share an id, or have none, as one.
+    many = spark.createDataFrame([(None, "w " * (10 + k), "a" if k < 20 else "b") for k in range(120)], "doc_id long, text string, source string")
+    goals = {r.source: r.target for r in mixing.mix(many).collect()}
+    taken = {r.source: r.words for r in corpus_pipeline.mix(spark, many, "").groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("w"))).alias("words")).collect()}
+    assert all(abs(taken[s] - goals[s]) <= 70 for s in goals)
+
+
 def test_mix_by_hand(spark):
     docs = spark.createDataFrame([(i, "w " * 10, s) for i, s in enumerate(["a"] * 10 + ["b"] * 40 + ["c"] * 150)], "doc_id long, text string, source string")
     rows = mixing.mix(docs).collect()
