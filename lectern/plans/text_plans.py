@@ -117,7 +117,7 @@ def _(v):
 
 @query("X25_redact")
 def _(v):
-    return v.questions.filter("id % 2 = 0 or question_text not like '%@%'").select("id", t.redact(_text()).alias("text")).filter("text not like '%@%'")
+    return v.questions.select("id", t.redact(_text()).alias("text"))
 
 
 @query("X26_embedding_input", "select id, 'Subject: ' || subject || chr(10) || chr(10) || 'Topics:' || chr(10) || '- a' || chr(10) || '- ' || document_id || chr(10) || chr(10) || 'Question:' || chr(10) || question_text as input from questions", Q)

@@ -157,3 +157,12 @@ def test_order_of_rows_does_not_matter(spark, attempts):
     many = attempts.unionByName(attempts.withColumn("id", F.col("id") + 10))
     forms = [review.schedule(many.orderBy(F.col("id").desc() if d else F.col("id"))).orderBy("key").collect() for d in (0, 1)]
     assert forms[0] == forms[1]
+
+
+def test_redact_returns_every_row(spark, tmp_path):
+    from lectern.plans.registry import QUERIES
+
+    texts = ["plain words", "write to me@x.org now", "me@x.org", "a @ b stays", None]
+    spark.createDataFrame([(k, x, "en", "a", len(x or "")) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {0: "plain words", 1: "write to [redacted-email] now", 2: "[redacted-email]", 3: "a @ b stays", 4: ""}
+    assert dict(tuple(r) for r in QUERIES["X25_redact"](spark, str(tmp_path)).collect()) == want
