@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a new one where unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where it is unset, a local session gets a new one and a cluster an error."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         where = sc.getCheckpointDir()
     return where.rstrip("/")
@@ -38,11 +41,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Python workers get texts by a thousand rows at most: a few megabytes, and long ones are rare."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def slices(texts: list[str], chars: int = 300_000) -> Iterator[list[str]]:
+    """Runs of texts of about ``chars`` characters: what a Python worker takes apart at a time. Spark bounds whole Arrow batches by bytes."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > chars:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
 
 
 def words(text):

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -264,7 +264,6 @@ def listed(spans: list[Span]) -> str:
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, counts of fixed spans, base_sha256 and spans of every document."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -283,7 +282,6 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """Documents with every span of ``text`` replaced by its kind in square brackets; null stays null."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

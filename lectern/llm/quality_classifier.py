@@ -10,7 +10,7 @@ the fourth power of their cosine.
 
 Defined results: null text is empty; an empty text has its shape terms alone and is scored like any other;
 repeated rows and equal texts get equal scores; rows whose label is null aren't learnt from; with no labelled
-rows every score is 1; an empty table gives an empty result; other columns are ignored.
+rows every score is 0.5; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 FIT_ROWS, DIMENSIONS, NEIGHBOURS, THRESHOLD = 3000, 32, 25, 0.7
 PAIRS, WORDS, SHAPES = 1024, 1024, 32
 TERMS = PAIRS + WORDS + SHAPES
@@ -70,7 +68,7 @@ class Model:
     def scores(self, matrix: np.ndarray) -> np.ndarray:
         """Votes for a block of term vectors."""
         if not len(self.labels):
-            return np.ones(len(matrix))
+            return np.full(len(matrix), 0.5)
         cosines = self.project(matrix) @ self.vectors.T
         k = min(NEIGHBOURS, cosines.shape[1])
         last = np.partition(cosines, -k, axis=1)[:, -k][:, None]
@@ -100,13 +98,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, dimensions: in
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the score of every document, between 0 and 1, in place of any column of that name."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
         for batch in batches:
-            texts = batch.tolist()
+            texts = batch.fillna("").tolist()
             blocks = [m.scores(np.array([terms(t) for t in texts[k : k + BLOCK]])) for k in range(0, len(texts), BLOCK)]
             yield pd.Series(np.concatenate(blocks) if blocks else [], dtype="float64")
 

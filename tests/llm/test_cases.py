@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,16 +191,38 @@ def test_every_length_class_has_a_null(spark):
     assert {r["class"] for r in secret_scan.thresholds(tested)} == {r["class"] for r in tested.collect()}
 
 
-def test_library_decodes_alike():
+def test_agenda_equals_the_library():
     import random
 
-    c, r = sentencepiece_codec.codec(sentencepiece_codec.model_path()), random.Random(2)
-    for _ in range(3000):
-        ids = [r.choice([r.randrange(0, 259), r.randrange(259, 32000), 13, 28705, 1, 2]) for _ in range(r.randrange(0, 7))]
-        assert c.decode(ids) == c.library.decode(ids)
-    texts = ["", " ", "  a", "a  b ", "\n\n", "<s>", "日本" * 500, "".join(r.choice("thean ▁🙂\n") for _ in range(5000))]
-    assert c.encode_batch(texts) == c.library.encode(texts, add_bos=True, add_eos=True)
-    assert [c.decode(x) for x in c.encode_batch(texts)] == c.library.decode(c.encode_batch(texts))
+    r, library = random.Random(2), sentencepiece_codec.codec(sentencepiece_codec.model_path()).library
+    texts = ["", " ", "  a", "a  b ", "a   ", "\n\n", "<s>", "日本" * 500, "x" * 3000, "\x00", "▁", " ▁ a", "🙂", "thean ▁🙂\n" * 700]
+    texts += ["".join(r.choice("thean ▁🙂\nщ語,.\t²") for _ in range(r.randrange(80))) for _ in range(3000)]
+    own = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+    packed = own.encode_batch(texts)  # raises where one differs
+    assert [np.frombuffer(x, "<u4").tolist() for x in packed] == library.encode(texts, add_bos=True, add_eos=True)
+    assert own.decode_batch(packed) == library.decode(library.encode(texts, add_bos=True, add_eos=True))
+    # Heap and matrix agree, with and without a cache.
+    words = [w for w in {w for t in texts for w in own.keys(t)} if len(w) < 40 and own.alphabet.issuperset(w)]
+    assert own.encode_keys(set(words)) == {w: own.packed(own.merged("▁" + w.replace(" ", "▁"))) for w in words}
+    assert own.encode_batch(texts) == packed
+
+
+def test_a_wrong_agenda_is_noticed():
+    own = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+    own.recent["winter"] = own.packed(["w"])
+    with pytest.raises(ValueError, match="differ"):
+        own.encode_batch(["in winter"])
+
+
+def test_every_row_against_the_library(spark):
+    library = sentencepiece_codec.codec(sentencepiece_codec.model_path()).library
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    rows = sentencepiece_codec.op3_sentencepiece(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        ids = library.encode(docs[r.doc_id] or "", add_bos=True, add_eos=True)
+        digest = hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest, hashlib.sha256(library.decode(ids).encode()).hexdigest())
 
 
 def test_held_out_accuracy(spark):
