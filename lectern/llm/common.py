@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
@@ -57,3 +57,16 @@ def slices(texts: list[str], chars: int = 300_000) -> Iterator[list[str]]:
 def words(text):
     """Words of a text column as an array; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have: the given one, or with underscores."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

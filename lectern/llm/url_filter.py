@@ -5,11 +5,12 @@ path. A canonical key is the host's labels from last to first, each closed by U+
 then the urls that a rule fits at one host are exactly those with keys, as UTF-8 bytes, from the rule's key up to that
 key plus a byte 255: an interval. Intervals nest or are apart. A url has one key for each suffix of its host.
 
-Keys and interval ends are sorted together and swept once: the start of an interval pushes its rule, its end
-pops back to the enclosing rule (found by an equi-join on the rules' own prefixes), so the last event before a
-key is the innermost rule. The sweep runs in slices: every slice has all events and an even share of the
-keys by a hash of the row, so a hot host is spread over all slices. The rules are the small side and are
-repeated once for each slice.
+Keys and intervals are dealt to ranges by sampled keys: each range has the keys and interval ends that lie in it, and gets the
+rules that are open where it begins (nested ones, so as many as rules nest at that place). A range with more than its
+share of keys, under a hot host, is cut into slices by a hash of the row, and only its own rules are repeated in them.
+Each slice is sorted and swept once: a start pushes its rule, an end pops it. The running sum of pushes and pops is the
+height of the stack, and what lies at a height is the last rule pushed to it, so the top at a key is the innermost
+rule there.
 
 Of the rules that fit at the url's host suffixes, the longest host plus path wins, then the longer host.
 Defined results: null url or no ``://`` gives an empty host and path, fits no rule and gets ``default``;
@@ -19,11 +20,15 @@ counts once, and block wins over allow for the same host and path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import let, stored
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 LABEL, PATH = "\u0001", "\u0002"
+#: Ranges at most, keys sampled for each, and bytes of a sampled key that count.
+MAX_RANGES, SAMPLED, BOUND_BYTES = 4096, 20, 48
 
 
 def host_of(url):
@@ -43,37 +48,71 @@ def key_of(host, path):
     return F.concat(F.array_join(labels, LABEL), F.lit(LABEL + PATH), path)
 
 
-def with_events(rules: DataFrame) -> DataFrame:
-    """rules (action, host, path) -> sweep events: key, side (0 end, 1 start), and the rule that is innermost from there on."""
+def bounds_of(keys: DataFrame, total: int, ranges: int) -> list[str]:
+    """Where each range but the first begins, as hexadecimal digits: quantiles of about SAMPLED keys for each range, picked by hash."""
+    if ranges < 2 or not total:
+        return []
+    share = min(1.0, SAMPLED * ranges / total)
+    picked = keys.filter(F.pmod(F.xxhash64("row", "key"), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
+    seen = sorted(r[0] for r in picked.select(F.hex(F.substring("key", 1, BOUND_BYTES))).collect())
+    return sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
+
+
+def range_of(key: Column, bounds: list[str]) -> Column:
+    """How many bounds are at or below a binary key, by halving."""
+    if not bounds:
+        return F.lit(0)
+    table, first = F.split(F.lit(",".join(bounds)), ","), F.struct(F.lit(0).alias("a"), F.lit(len(bounds)).alias("b"))
+
+    def halve(x: Column, at: Column) -> Column:
+        below = (x["a"] < x["b"]) & (F.get(table, F.shiftright(x["a"] + x["b"], 1)) <= at)
+        middle = F.shiftright(x["a"] + x["b"], 1)
+        return F.when(below, F.struct((middle + 1).alias("a"), x["b"].alias("b"))).otherwise(F.struct(x["a"].alias("a"), middle.alias("b")))
+
+    steps = F.array(*[F.lit(0)] * len(bounds).bit_length())
+    return let(F.hex(key), lambda at: F.aggregate(steps, first, lambda x, _: halve(x, at), lambda x: x["a"]))
+
+
+def events_of(rules: DataFrame, bounds: list[str]) -> DataFrame:
+    """rules (action, host, path) -> sweep events: range, key, side (0 end, 1 start), length of the rule's key, step (up or down), found.
+
+    A rule that is open where a range begins starts there with an empty key, the outer ones first.
+    """
     rules = rules.groupBy("host", "path").agg(F.max("action").alias("action"))
-    rules = rules.select(key_of(F.col("host"), F.col("path")).alias("start"), F.struct(F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "action").alias("found"))
-    ahead = rules.select("start", F.explode(F.expr("sequence(0, length(start) - 1)")).alias("n")).select("start", F.expr("left(start, n)").alias("outer"))
-    outer = ahead.join(rules.select(F.col("start").alias("outer"), F.col("found").alias("above")), "outer").groupBy("start").agg(F.max_by("above", F.length("outer")).alias("above"))
-    rules = rules.join(outer, "start", "left")
-    return rules.select(F.explode(F.array(
-        F.struct(F.col("start").cast("binary").alias("key"), F.lit(1).alias("side"), F.length("start").alias("depth"), F.col("found")),
-        F.struct(F.concat(F.col("start").cast("binary"), F.unhex(F.lit("FF"))).alias("key"), F.lit(0).alias("side"), (-F.length("start")).alias("depth"), F.col("above").alias("found")),
-    )).alias("e")).select("e.*")
+    start = key_of(F.col("host"), F.col("path")).cast("binary")
+    found = F.struct(F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "action")
+    r = rules.select(start.alias("start"), F.concat(start, F.unhex(F.lit("FF"))).alias("end"), found.alias("found"))
+    r = r.withColumns({"from": range_of(F.col("start"), bounds), "to": range_of(F.col("end"), bounds)})
+    begins = r.withColumn("range", F.explode(F.sequence("from", "to"))).select(
+        "range", F.when(F.col("range") == F.col("from"), F.col("start")).otherwise(F.unhex(F.lit(""))).alias("key"), F.lit(1).alias("side"), F.length("start").alias("depth"), F.lit(1).alias("step"), "found")
+    ends = r.select(F.col("to").alias("range"), F.col("end").alias("key"), F.lit(0).alias("side"), (-F.length("start")).alias("depth"), F.lit(-1).alias("step"), F.lit(None).cast(begins.schema["found"].dataType).alias("found"))
+    return begins.unionByName(ends)
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", default: str = "allow", rows_per_slice: int = 1_000_000) -> DataFrame:
     """id, url -> id, host, path, rule, verdict."""
     spark = pages.sparkSession
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, -(-pages.count() // rows_per_slice))
-    p = pages.select(F.col(id_col).alias("id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("url").alias("h"))
-    p = p.withColumn("slice", F.pmod(F.xxhash64("id", "h"), F.lit(slices)))
+    p = pages.select(F.col(id_col).alias("id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    p = stored(p.withColumn("row", F.monotonically_increasing_id()), "url-rows")
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = p.withColumn("at", F.explode(hosts)).select("slice", key_of(F.col("at"), F.col("path")).cast("binary").alias("key"), F.lit(2).alias("side"), F.lit(0).alias("depth"), "id", "host", "path")
-    events = with_events(rules).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    mark = F.struct(F.col("found"))
-    sweep = keys.withColumn("mark", F.lit(None).cast("struct<found:struct<size:int,host_size:int,rule:string,action:string>>")).unionByName(
-        events.withColumn("mark", mark).drop("found"), allowMissingColumns=True)
-    order = Window.partitionBy("slice").orderBy("key", "side", "depth").rowsBetween(Window.unboundedPreceding, 0)
-    swept = sweep.withColumn("mark", F.last("mark", ignorenulls=True).over(order)).filter(F.col("side") == 2)
-    best = swept.groupBy("slice", "id", "host", "path").agg(F.max("mark.found").alias("found"), (F.count("*") / F.size(F.split("host", r"\."))).cast("int").alias("copies"))
-    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return best.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.action", F.lit(default)).alias("verdict"))
+    keys = p.select("row", "path", F.explode(hosts).alias("at")).select("row", key_of(F.col("at"), F.col("path")).cast("binary").alias("key"))
+    total = p.agg(F.sum(F.size(labels))).first()[0] or 0
+    ranges = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_slice)))
+    bounds = bounds_of(keys, total, ranges)
+    keys = keys.withColumn("range", range_of(F.col("key"), bounds))
+    full = {r["range"]: -(-r["count"] // rows_per_slice) for r in keys.groupBy("range").count().collect()}
+    slices = F.get(F.split(F.lit(",".join(str(full.get(k, 0)) for k in range(len(bounds) + 1))), ",").cast("array<int>"), F.col("range"))
+    events = events_of(rules, bounds).filter(slices > 0).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    keys = keys.select("range", "key", F.lit(2).alias("side"), F.lit(0).alias("depth"), F.lit(0).alias("step"), F.pmod(F.xxhash64("row"), slices).cast("int").alias("slice"), "row")
+    slice_of, order = ("range", "slice"), ("key", "side", "depth")
+    swept = events.unionByName(keys, allowMissingColumns=True)
+    swept = swept.withColumn("height", F.sum("step").over(Window.partitionBy(*slice_of).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    swept = swept.filter("height > 0 and side > 0")
+    top = Window.partitionBy(*slice_of, "height").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    swept = swept.withColumn("top", F.last("found", ignorenulls=True).over(top)).filter("side = 2")
+    best = swept.groupBy("row").agg(F.max("top").alias("found"))
+    return p.join(best, "row", "left").select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.action", F.lit(default)).alias("verdict"))
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
