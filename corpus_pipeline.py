@@ -16,15 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import mixing, personal_data, quality_classifier, sentencepiece_codec, simhash
-from lectern.llm.common import stored
+from lectern.llm.common import stored, unused
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.Model:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_classifier.fit(docs, labels.filter(~quality_classifier.held_out()))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier accepts."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = quality_classifier.fit(docs, labels.filter(~quality_classifier.held_out()))
-    scored = quality_classifier.score(docs, model, out="quality_score")
-    return scored.filter(F.col("quality_score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+    score = unused(docs, "quality_score")
+    scored = quality_classifier.score(docs, quality_model(spark, docs, sf_dir), out=score)
+    return scored.filter(F.col(score) >= quality_classifier.THRESHOLD).select(*docs.columns)
 
 
 def row_hash(docs: DataFrame) -> Column:
@@ -37,12 +41,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the smallest by doc_id, nulls last, then by the hash of the row."""
     key = F.struct(F.col("doc_id").isNull().alias("unnumbered"), F.col("doc_id").alias("id"), row_hash(docs).alias("hash"))
     found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
-    first = stored(found.filter("doc_id = component_id").groupBy(F.col("doc_id.hash").alias("first_hash")).agg(F.count("*").alias("copies")), "first")
+    own, first_own = unused(docs, "row_hash"), unused(docs, "first_hash")
+    first = stored(found.filter("doc_id = component_id").groupBy(F.col("doc_id.hash").alias(first_own)).agg(F.count("*").alias("copies")), "first")
     # As many rows as documents stay, so neither side is broadcast at any size.
-    hashed = docs.withColumn("row_hash", row_hash(docs))
-    kept = hashed.join(first.select("first_hash").hint("merge"), F.expr("row_hash = first_hash"), "left_semi")
+    hashed = docs.withColumn(own, row_hash(docs))
+    kept = hashed.join(first.select(first_own).hint("merge"), F.col(own) == F.col(first_own), "left_semi")
     # Rows that share a hash are alike in all columns.
-    return (kept if first.filter("copies > 1").isEmpty() else kept.dropDuplicates(["row_hash"])).select(*docs.columns)
+    return (kept if first.filter("copies > 1").isEmpty() else kept.dropDuplicates([own])).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +57,14 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives each document as many rows as the mix takes of it."""
-    hashed = docs.withColumn("row_hash", row_hash(docs))
-    # Documents without an id are dealt by their hash, each on its own.
-    named = hashed.select(F.coalesce(F.col("doc_id").cast("string"), F.hex("row_hash")).alias("doc_id"), "text", "source", "row_hash")
-    taken = mixing.mix(named, keep=("row_hash",)).filter("epochs > 0")
-    taken = taken.groupBy(F.col("row_hash").alias("mix_hash")).agg(F.max("epochs").cast("int").alias("mix_epochs"))
-    rows = hashed.join(taken.hint("merge"), F.expr("row_hash = mix_hash"))
-    return rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), "mix_epochs"))).select(*docs.columns)
+    """Gives each document as many rows as the mix takes of it. Weights are the quality classifier's scores, fitted on all documents of the folder."""
+    own, taken_own, epochs, epoch, score = (unused(docs, name) for name in ("row_hash", "taken_hash", "mix_epochs", "mix_epoch", "quality_score"))
+    hashed = docs.withColumn(own, row_hash(docs))
+    scored = quality_classifier.score(hashed, quality_model(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir), out=score)
+    taken = mixing.mix(scored.select("doc_id", "text", "source", own, score), keep=(own,), weight=F.col(score)).filter("epochs > 0")
+    taken = taken.groupBy(F.col(own).alias(taken_own)).agg(F.max("epochs").cast("int").alias(epochs))
+    rows = hashed.join(taken.hint("merge"), F.col(own) == F.col(taken_own))
+    return rows.withColumn(epoch, F.explode(F.sequence(F.lit(1), epochs))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,14 +149,19 @@ def _ranges(batch: pd.DataFrame, folder: str):
                 yield r, f
 
 
+PLACED = "digest binary, file string, offset long, length long"
+HEADER = "width int, height int, bit_depth int"
+
+
 def metadata(places: DataFrame, folder: str) -> DataFrame:
-    """digest, file, offset, length -> digest, width, height, bit_depth, reading headers alone."""
+    """digest, file, offset, length -> the same with width, height and bit_depth, from range reads of the headers alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(r.digest, *read_header(f.read_at(HEADER_BYTES, r.offset))) for r, f in _ranges(b, folder)], columns=["digest", "width", "height", "bit_depth"])
+            rows = [(*r, *read_header(f.read_at(HEADER_BYTES, r.offset))) for r, f in _ranges(b, folder)]
+            yield pd.DataFrame(rows, columns=["digest", "file", "offset", "length", "width", "height", "bit_depth"])
 
-    return places.select("digest", "file", "offset", "length").mapInPandas(run, "digest binary, width int, height int, bit_depth int")
+    return places.select("digest", "file", "offset", "length").mapInPandas(run, f"{PLACED}, {HEADER}")
 
 
 def feature(payload: bytes) -> str:
@@ -168,20 +173,21 @@ def feature(payload: bytes) -> str:
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
-    """digest, file, offset, length -> digest, what its header and its pixels say, from the stored bytes."""
+    """Rows of ``metadata`` -> the same with what the stored bytes say, from range reads of whole images. An image must have the size that its header gave."""
+    columns = places.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r, f in _ranges(b, folder):
-                width, height, bit_depth = read_header(f.read_at(HEADER_BYTES, r.offset))
                 image = f.read_at(r.length, r.offset)
                 payload = from_png(image)
-                out.append((r.digest, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload), width, height, bit_depth))
-            yield pd.DataFrame(out, columns=["digest", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth"])
+                if len(payload) != r.width * r.height:
+                    raise ValueError(f"{r.file} at {r.offset}: the image isn't of the size that its header gives")
+                out.append((*r, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
+            yield pd.DataFrame(out, columns=[*columns, "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    kind = "digest binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bit_depth int"
-    return places.select("digest", "file", "offset", "length").mapInPandas(run, kind)
+    return places.mapInPandas(run, f"{PLACED}, {HEADER}, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op2_media(spark, sf_dir):
@@ -189,6 +195,7 @@ def op2_media(spark, sf_dir):
     rows = store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
     # Readers get neighbours within a file, and about as many rows each.
     places = first_places(rows).repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8), "file", "offset")
-    found = stored(features(places, folder), "media-features")
+    found = stored(features(metadata(places, folder), folder), "media-features")
     out = rows.select("doc_id", "digest", "n_bytes", "payload_bytes").join(found, "digest")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth",
+                      F.lower(F.hex("digest")).alias("digest"), F.concat(F.lit(f"{folder}/"), "file").alias("file"), "offset", "length")

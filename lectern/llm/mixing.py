@@ -3,25 +3,27 @@
 Every source gets a target number of words: its share of all words by weight, never more than ``limit``
 times its own words; what it can't take is shared again by weight. A source takes floor(target / own words)
 complete epochs of all its documents. The rest of its target is filled with documents in the order of
-exponential keys -ln(u) / quality weight, prefix-summed up to the budget.
+exponential keys -ln(u) / quality weight, prefix-summed up to the budget. The weight is any positive column, by default
+one that reads the whole text (``text_weight``); u comes from a hash of doc_id and text.
 
 The order within a source is cut into about sqrt(documents) key ranges, so that a hot source is sorted and
 summed by many tasks: range totals are summed first, then each range adds its own prefix sums.
 
 Defined results: null text is empty (size 0, taken 0); a null source is a source of its own, last in order;
-repeated rows with one doc_id each count as a document; ties of the key go by doc_id, then size; an empty
-table gives an empty result; other columns are ignored.
+repeated rows with one doc_id each count as a document; documents without an id differ by their texts; ties of the key go by
+doc_id, then size; a null weight counts as the least one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, stored, words
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
+LEAST_WEIGHT = 0.05
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -47,22 +49,27 @@ def targets(sources: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFram
     return s.select("source", "source_size", "docs", F.least(limit * F.col("source_size").cast("double"), F.col("weight") * F.col("water")).alias("target"))
 
 
-def uniform(doc_id):
-    """A reproducible number strictly between 0 and 1 for a doc_id."""
-    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A reproducible number strictly between 0 and 1 for a document."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/"), F.md5(F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
-def quality_weight(text, size):
-    """Between 0.25 and 1: falls with the share of markup symbols among words."""
-    symbols = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[#*$%&|<>!]"))
-    return F.greatest(F.lit(0.25), 1 / (1 + 4 * symbols / F.greatest(size, F.lit(1))))
+def text_weight(text: Column) -> Column:
+    """Between LEAST_WEIGHT and 1, from the whole text: the share of lines that aren't repeats, times the share of characters that aren't markup, to the fourth power, times the number of distinct words against twice the square root of the number of words (or that number, if less), 1 at most."""
+    text = F.coalesce(text, F.lit(""))
+    lines, w = F.split(text, "\n"), words(text)
+    fresh = F.size(F.array_distinct(lines)) / F.size(lines)
+    plain = 1 - F.regexp_count(text, F.lit(r"[#*$%&|<>]")) / F.greatest(F.length(text), F.lit(1))
+    variety = F.least(F.lit(1.0), F.size(F.array_distinct(w)) / F.greatest(F.lit(1.0), F.least(F.size(w).cast("double"), 2 * F.sqrt(F.size(w)))))
+    return F.greatest(F.lit(LEAST_WEIGHT), fresh * plain * plain * plain * plain * variety)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, source -> doc_id, source, size, source_size, target, epochs, taken (words, repeats counted), and the columns of keep, which settle the last ties."""
+def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, keep: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """doc_id, text, source and a column of quality weights -> doc_id, source, size, source_size, target, epochs, taken (words, repeats counted), and the columns of keep, which settle the last ties."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    slim = docs.select("doc_id", "source", size.alias("size"), "text", *keep)
-    slim = slim.select("doc_id", "source", "size", *keep, (-F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("text"), F.col("size"))).alias("key"))
+    weight = F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(text_weight(F.col("text")) if weight is None else weight, F.lit(LEAST_WEIGHT)))
+    slim = docs.select("doc_id", "source", size.alias("size"), (-F.log(uniform(F.col("doc_id"), F.col("text"))) / weight).alias("key"), *keep)
     slim = stored(slim, "mix")
     sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, limit)
     sources = stored(sources, "mix-sources")
@@ -89,10 +96,14 @@ def op6_mixing(spark, sf_dir):
 OP6_SQL = r"""
 with slim as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>!]')) as symbols,
-         (('0x' || substr(md5(doc_id::varchar), 1, 12))::bigint::double + 0.5) / 281474976710656.0 as u
+         (('0x' || substr(md5(coalesce(doc_id::varchar, '') || '/' || md5(coalesce(text, ''))), 1, 12))::bigint::double + 0.5) / 281474976710656.0 as u,
+         len(list_distinct(string_split(coalesce(text, ''), chr(10)))) / len(string_split(coalesce(text, ''), chr(10))) as fresh,
+         1 - len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) / greatest(length(coalesce(text, '')), 1) as plain,
+         len(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) as kinds
   from documents),
-keyed as (select doc_id, source, size, -ln(u) / greatest(0.25, 1 / (1 + 4 * symbols / greatest(size, 1)::double)) as key from slim),
+keyed as (
+  select doc_id, source, size, -ln(u) / greatest(0.05, fresh * plain * plain * plain * plain * least(1.0, kinds / greatest(1.0, least(size, 2 * sqrt(size))))) as key
+  from slim),
 src as (select source, sum(size)::bigint as source_size from keyed group by source),
 weighed as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3) + 1] as weight from src),
 ratios as (select *, 3 * source_size / weight::double as ratio from weighed),

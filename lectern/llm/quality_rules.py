@@ -25,19 +25,22 @@ THRESHOLD = -0.25
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def grams(w, buckets: int):
-    """Bucket numbers of the n-grams of a word array."""
-    n = F.size(w)
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)))
+def hashes(w):
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def grams(w, h, buckets: int):
+    """Bucket numbers of the n-grams of a word array and its hashes. A pair's hash comes from those of its words."""
+    one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)))
     ends = F.transform(w, lambda x: F.pmod(F.xxhash64(F.right(x, F.lit(2)), F.lit(1)), F.lit(buckets)))
-    pairs = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b, F.lit(2)), F.lit(buckets))))
-    return F.array_compact(F.concat(one, ends, pairs))
+    pairs = F.transform(F.arrays_zip(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))).alias("a"), F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))).alias("b")), lambda x: F.pmod(F.xxhash64(x["a"], x["b"]), F.lit(buckets)))
+    return F.concat(one, ends, pairs)
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> list[float]:
     """The log ratio of every bucket, from the counts of all documents and of the trusted sample."""
     good = labels.filter("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_docs).withColumn("trusted", F.lit(1))
-    seen = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", grams(F.col("w"), buckets).alias("g"))
+    seen = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("h", hashes(F.col("w"))).select("doc_id", grams(F.col("w"), F.col("h"), buckets).alias("g"))
     seen = seen.join(F.broadcast(good), "doc_id", "left").select("trusted", F.explode("g").alias("bucket"))
     rows = seen.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted")).collect()
     raw_all, trusted_all = sum(r.raw for r in rows) + buckets, sum(r.trusted for r in rows) + buckets
@@ -51,12 +54,12 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> the same with words w, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """doc_id, text -> the same with words w, their hashes h, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", "text").withColumn("w", words(F.col("text")))
+    d = docs.select("doc_id", "text").withColumn("w", words(F.col("text"))).withColumn("h", hashes(F.col("w")))
     n = F.size("w")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    windows = F.expr("case when size(w) < 5 then array() else transform(sequence(1, size(w) - 4), i -> xxhash64(w[i-1], w[i], w[i+1], w[i+2], w[i+3])) end")
+    windows = F.expr("case when size(w) < 5 then array() else transform(sequence(1, size(w) - 4), i -> xxhash64(h[i-1], h[i], h[i+1], h[i+2], h[i+3])) end")
     d = d.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.length(F.array_join("w", "")).cast("long"),
@@ -78,11 +81,11 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """docs -> the base columns, llr (mean log ratio) and kept."""
-    d = base_columns(docs).withColumn("g", grams(F.col("w"), len(ratios)))
+    d = base_columns(docs).withColumn("g", grams(F.col("w"), F.col("h"), len(ratios)))
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
     total = F.aggregate("g", F.lit(0.0), lambda a, b: a + F.get(table, b.cast("int")))
     d = d.withColumn("llr", F.when(F.size("g") > 0, total / F.size("g")).otherwise(0.0))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("w", "g")
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("w", "h", "g")
 
 
 def op10_quality_rules(spark, sf_dir):

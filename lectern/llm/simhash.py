@@ -92,7 +92,9 @@ def _pairs(spread: DataFrame, key: list[str], distance: int, bucket_rows: int, l
     buckets = spread.withColumn("rank", rank).filter(F.col("rank") <= bucket_rows + 1).groupBy(*key).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     buckets = stored(buckets, label)
     pairs = buckets.filter(F.size("fps") <= bucket_rows).select(F.posexplode("fps").alias("k", "u"), "fps").select("u", F.explode(F.expr(f"filter(slice(fps, k + 2, size(fps)), v -> {_near(distance)})")).alias("v"))
-    return pairs, spread.join(buckets.filter(F.size("fps") > bucket_rows).select(*key), key, "left_semi")
+    # A table of their keys alone: where there are few, Spark sees that from its size and broadcasts them in place of shuffling all members.
+    hot = stored(buckets.filter(F.size("fps") > bucket_rows).select(*key), label + "-hot")
+    return pairs, spread.join(hot, key, "left_semi")
 
 
 def close_pairs(nodes: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
