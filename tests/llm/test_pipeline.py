@@ -14,10 +14,13 @@ SF = "/root/testdata/sf0.001"
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
-def kept_by_classifier(spark, docs):
+def score(model, text):
+    return model.scores(np.array([quality_classifier.terms(text)]))[0]
+
+
+def quality_model(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
-    model = quality_classifier.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels.filter(~quality_classifier.held_out()))
-    return [d for d in docs if model.scores(np.array([quality_classifier.terms(d.text)]))[0] >= 0.7]
+    return quality_classifier.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels.filter(~quality_classifier.held_out()))
 
 
 def without_near_copies(docs):
@@ -62,7 +65,7 @@ def redacted(spark, docs):
     return out
 
 
-def mixed(rows):
+def mixed(rows, quality):
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, _, t in rows}
     own = Counter()
     for i, s, _ in rows:
@@ -81,8 +84,9 @@ def mixed(rows):
 
     def key(row):
         i, _, t = row
-        u = (int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
-        return -log(u) / max(0.25, 1 / (1 + 4 * len(re.findall(r"[#*$%&|<>!]", t)) / max(sizes[i], 1)))
+        name = f"{i}/{hashlib.md5(t.encode()).hexdigest()}"
+        u = (int(hashlib.md5(name.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        return -log(u) / max(0.05, quality(t))
 
     out, upto = [], Counter()
     for row in sorted(rows, key=key):
@@ -96,7 +100,9 @@ def mixed(rows):
 
 def test_run_equals_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    rows = mixed(redacted(spark, without_near_copies(kept_by_classifier(spark, docs))))
+    model = quality_model(spark)
+    kept = [d for d in docs if score(model, d.text) >= 0.7]
+    rows = mixed(redacted(spark, without_near_copies(kept)), lambda text: score(model, text))
     library = sentencepiece_codec.codec(sentencepiece_codec.model_path()).library
     want = Counter((i, hashlib.sha256(np.array(library.encode(t, add_bos=True, add_eos=True), dtype="<u4").tobytes()).hexdigest()) for i, _, t in rows)
     got = Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
