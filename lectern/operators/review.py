@@ -97,15 +97,15 @@ def throttle(events: DataFrame, key: str, limit: int, seconds: float) -> DataFra
     """W13. Whether each event is allowed: at most ``limit`` accepted events of its key in the window before it; refused ones don't count.
 
     A key's verdicts depend on all before them, so a key is one task's work, sorted by Spark; it is read in
-    batches and never held whole.
+    batches and never held whole. Events without a key count as one key.
     """
     rows = events.select("id", F.col(key).alias("key"), "created_at")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {"key": None, "times": []}
+        held: dict = {"key": object(), "times": []}
         for b in batches:
             flags = []
-            for k, t in zip(b.key, b.created_at):
+            for k, t in zip(b.key.astype(object).where(b.key.notna(), None), b.created_at):
                 if k != held["key"]:
                     held = {"key": k, "times": []}
                 held["times"] = [x for x in held["times"] if (t - x).total_seconds() < seconds]

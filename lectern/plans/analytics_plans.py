@@ -45,12 +45,12 @@ def _(v):
     return a.daily_accuracy(v.attempts)
 
 
-DIFFICULTY = """d as (select concat('q', id) as question_id, max(difficulty) as difficulty from questions where id < 60 group by all),
+DIFFICULTY = """d as (select concat('q', id) as question_id, max(difficulty) as difficulty from questions group by all),
   j as (select a.*, coalesce(lower(nullif(trim(d.difficulty), '')), 'unknown') as difficulty from attempts a left join d on d.question_id = coalesce(nullif(trim(a.source_question_id), ''), trim(a.question_id)))"""
 
 
 def _difficulties(v):
-    return v.questions.filter("id < 60").groupBy(F.concat(F.lit("q"), "id").alias("question_id")).agg(F.max("difficulty").alias("difficulty"))
+    return v.questions.groupBy(F.concat(F.lit("q"), "id").alias("question_id")).agg(F.max("difficulty").alias("difficulty"))
 
 
 @query("J7_attempt_difficulty", f"with {DIFFICULTY} select id, difficulty from j", "attempts", "questions")

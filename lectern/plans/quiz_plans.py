@@ -13,7 +13,7 @@ from .analytics_plans import BREAKDOWN
 from .base import query
 from .review_plans import DUE, NOW
 
-ITEMS = """select user_id as quiz_id, id as position, case when id % 10 = 0 then '' else 'i' || id end as item_id, coalesce(nullif(trim(source_question_id), ''), 'q' || id % 30) as source_question_id,
+ITEMS = """select user_id as quiz_id, id as position, case when id % 10 = 0 then '' else 'i' || id end as item_id, case when id % 23 = 0 then 'gone' || id else coalesce(nullif(trim(source_question_id), ''), 'q' || id % 30) end as source_question_id,
   case when id % 17 = 0 then ' ' else 'd' || id % 3 end as document_id, case when id % 4 = 0 then 'What  is ' || topic else 'what is' || topic || ' ' || id % 40 end as question, cast(id % 5 as int) as correct_answer, case when id % 19 = 0 then null else 'because' end as explanation, id from attempts"""
 
 
@@ -40,12 +40,12 @@ def _(v):
 
 @query("Q4_check_response", f"""with {ITEM_CTE}, w as (select quiz_id, position, unnest([case when item_id = '' then 'id' end, case when trim(document_id) = '' then 'document' end, case when id % 6 = 1 then 'four_options' end, case when id % 6 = 2 then 'blank_option' end,
   case when id % 6 = 0 then 'same_options' end, case when correct_answer > 3 then 'answer' end, case when explanation is null then 'explanation' end]) as rule from it),
-  s as (select 'q' || id as sid, any_value('d' || id % 3) as d from questions where id < 25 group by all),
+  s as (select 'q' || id as sid, any_value('d' || id % 3) as d from questions group by all),
   x as (select quiz_id, position, case when d is null then 'unknown_source' when d <> document_id then 'other_document' end as rule from it left join s on sid = source_question_id),
   t as (select quiz_id, position, case when row_number() over (partition by quiz_id, text order by position) > 1 or row_number() over (partition by quiz_id, source_question_id order by position) > 1 then 'repeated' end as rule from nt)
 select * from w where rule is not null union all select * from x where rule is not null union all select * from t where rule is not null union all select quiz_id, null, 'too_many' from it group by quiz_id having count(*) > 50""", "attempts", "questions")
 def _(v):
-    sources = v.questions.filter("id < 25").select(F.concat(F.lit("q"), "id").alias("id"), F.concat(F.lit("d"), F.col("id") % 3).alias("document_id"))
+    sources = v.questions.select(F.concat(F.lit("q"), "id").alias("id"), F.concat(F.lit("d"), F.col("id") % 3).alias("document_id"))
     return z.check_response(_items(v), sources)
 
 

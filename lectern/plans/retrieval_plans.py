@@ -1,4 +1,4 @@
-"""Retrieval queries: 20 queries from the first documents and vectors, over whole tables."""
+"""Retrieval queries: every document and vector whose id is divisible by 100 is a query, against whole tables."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from lectern.operators import retrieval as r
 from .base import query
 
 BASE = ("questions", "vectors", "question_topics")
-CTE = """qs as (select id as query_id, array_to_string(list_filter(regexp_split_to_array(lower(question_text), '[^a-z0-9]+'), lambda x: length(x) >= 3)[1:2], ' ') as query from questions where id < 20),
-  qv as (select question_id as query_id, embedding::double[] as e, label from vectors where question_id < 20),
+CTE = """qs as (select id as query_id, array_to_string(list_filter(regexp_split_to_array(lower(question_text), '[^a-z0-9]+'), lambda x: length(x) >= 3)[1:2], ' ') as query from questions where id % 100 = 0),
+  qv as (select question_id as query_id, embedding::double[] as e, label from vectors where question_id % 100 = 0),
   tf as (select id, t, count(*) as n from (select id, unnest(list_filter(regexp_split_to_array(lower(question_text), '[^a-z0-9]+'), lambda x: x <> '')) as t from questions) group by all),
   qt as (select query_id, query, unnest(list_distinct(list_filter(string_split(query, ' '), lambda x: x <> ''))) as t from qs),
   qn as (select query_id, count(*) as k from qt group by all),
@@ -31,7 +31,7 @@ CTE = """qs as (select id as query_id, array_to_string(list_filter(regexp_split_
   ls as (select 'vector' as strategy, query_id, id, rank from vr union all select 'keyword', query_id, id, rank from kr union all select 'hybrid', query_id, id, rank from hw union all select 'hybrid+rerank', query_id, id, rank from xr
     union all select 'metadata', query_id, id, row_number() over (partition by query_id order by score desc, id) from (select vs.*, row_number() over (partition by query_id order by score desc, id) as n from vs where exists (select 1 from question_topics l where l.question_id = vs.id and l.topic_id like 'v%')) where n <= 10),
   ev as (select s.strategy, q.query_id, count(ls.id) as got, count(rel.id) as shared, any_value(t.total) as total, count(rel.id) filter (rank <= 3) as a3, count(rel.id) filter (rank <= 5) as a5, count(rel.id) filter (rank <= 10) as a10
-    from qs q cross join (select distinct strategy from ls) s left join ls on ls.strategy = s.strategy and ls.query_id = q.query_id left join rel on rel.query_id = ls.query_id and rel.id = ls.id
+    from qs q cross join (select unnest(['vector', 'keyword', 'hybrid', 'hybrid+rerank', 'metadata']) as strategy) s left join ls on ls.strategy = s.strategy and ls.query_id = q.query_id left join rel on rel.query_id = ls.query_id and rel.id = ls.id
     left join (select query_id, count(*) as total from rel group by all) t on t.query_id = q.query_id group by s.strategy, q.query_id),
   em as (select strategy, query_id, case when total > 0 then shared / total else 0.0 end as recall, case when got > 0 then shared / got else 0.0 end as precision, a3 > 0 as hit3, a5 > 0 as hit5, a10 > 0 as hit10 from ev),
   cm as (select strategy, count(*) as queries, avg(recall) as recall, avg(precision) as precision, avg(hit3::int) as hit3, avg(hit5::int) as hit5, avg(hit10::int) as hit10 from em group by all)"""
@@ -41,8 +41,8 @@ def _inputs(v):
     corpus = v.questions.select("id", F.col("question_text").alias("text"), "document_id")
     vectors = v.vectors.select(F.col("question_id").alias("id"), F.col("embedding").alias("vector"), "label", "model")
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) >= 3)
-    text = corpus.filter("id < 20").select(F.col("id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("query"))
-    vector = vectors.filter("id < 20").select(F.col("id").alias("query_id"), "vector", "label")
+    text = corpus.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("query"))
+    vector = vectors.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vector", "label")
     return corpus, vectors, text, vector
 
 
@@ -58,7 +58,7 @@ def _(v):
 
 
 def _metric(expr: str, more: str = "") -> str:
-    return f"with qv as (select question_id as query_id, embedding::double[] as e from vectors where question_id < 20), s as (select query_id, question_id as id, round({expr}, 6) as score from vectors, qv) select * from (select *{more}, row_number() over (partition by query_id order by score desc, id) as rank from s) where rank <= 10"
+    return f"with qv as (select question_id as query_id, embedding::double[] as e from vectors where question_id % 100 = 0), s as (select query_id, question_id as id, round({expr}, 6) as score from vectors, qv) select * from (select *{more}, row_number() over (partition by query_id order by score desc, id) as rank from s) where rank <= 10"
 
 
 @query("R2_vector_l2", _metric("1 / (1 + list_distance(embedding::double[], e))"), "vectors")
@@ -116,7 +116,7 @@ def _(v):
 
 
 @query("R11_overlap_rerank", f"""with {CTE}, d as (select id, list(distinct t) as ts from tf group by all), w as (select query_id, list(t) as qs from qt group by all),
-  o as (select query_id, id, round(hw.score + coalesce(len(list_filter(qs, lambda x: list_contains(ts, x))) / len(qs), 0), 8) as score, sources from hw join qs using (query_id) left join w using (query_id) left join d using (id))
+  o as (select query_id, id, round(hw.score + coalesce(len(list_filter(qs, lambda x: list_contains(ts, x))) / len(qs), 0), 8) as score, sources from hw left join w using (query_id) left join d using (id))
 select *, row_number() over (partition by query_id order by score desc, id) as rank from o""", *BASE, digits=8)
 def _(v):
     corpus, _, text, _, vr, kr = _branches(v)
@@ -170,7 +170,7 @@ def _strategies(v):
         rows = df.select(F.lit(name).alias("strategy"), "query_id", "id", "rank")
         hits = rows if hits is None else hits.unionByName(rows)
     qrels = vectors.join(vector.select("query_id", "label"), "label").select("query_id", "id")
-    return hits, qrels, text
+    return hits, qrels, text, [*lists]
 
 
 @query("S9_relevance", f"with {CTE} select * from rel", *BASE)

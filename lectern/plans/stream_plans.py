@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,12 +10,7 @@ from pyspark.sql import functions as F
 from lectern.sources.views import SPARK, VIEWS
 from lectern.streaming import streams as t
 
-from .base import query
-
-
-def folder(v) -> str:
-    root = v.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/{uuid.uuid4().hex}"
+from .base import folder, query
 
 
 def _arriving(v) -> DataFrame:

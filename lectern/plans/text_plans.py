@@ -78,10 +78,10 @@ def _(v):
     return v.questions.select("id", t.figure_type(d).alias("strict"), t.quiz_figure_type(d).alias("quiz"))
 
 
-@query("X19_table_rows", r"""with l as (select id, list_filter(regexp_split_to_array(question_text, '\r?\n'), lambda x: trim(x) <> '' and not regexp_matches(x, '^[\s|:+=-]+$')) as ls from questions where question_text like '%|%')
-select id, len(ls) as n_rows, len(string_split(regexp_replace(trim(ls[1]), '^\||\|$', '', 'g'), case when contains(ls[1], '|') then '|' else ',' end)) as n_first from l""", Q)
+@query("X19_table_rows", r"""with l as (select id, list_filter(regexp_split_to_array(question_text, '\r?\n'), lambda x: trim(x) <> '' and not regexp_matches(x, '^[\s|:+=-]+$')) as ls from questions)
+select id, len(ls) as n_rows, case when contains(ls[1], '|') then len(string_split(regexp_replace(trim(ls[1]), '^\||\|$', '', 'g'), '|')) else len(string_split(ls[1], case when contains(ls[1], chr(9)) then chr(9) else ',' end)) end as n_first from l""", Q)
 def _(v):
-    return v.questions.filter("question_text like '%|%'").select("id", t.table_rows(_text()).alias("r")).select("id", F.size("r").cast("long").alias("n_rows"), F.size(F.col("r")[0]).cast("long").alias("n_first"))
+    return v.questions.select("id", t.table_rows(_text()).alias("r")).select("id", F.size("r").cast("long").alias("n_rows"), F.size(F.get("r", F.lit(0))).cast("long").alias("n_first"))
 
 
 @query("X20_table_summary")

@@ -125,7 +125,7 @@ def test_fusion(spark):
 def test_metrics(spark):
     hits = spark.createDataFrame([("s", 1, 1, 1), ("s", 1, 2, 2), ("s", 1, 9, 3)], "strategy string, query_id long, id long, rank int")
     rel = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "query_id long, id long")
-    r = retrieval.evaluate(hits, rel, spark.createDataFrame([(1,), (2,)], "query_id long"), (1, 3)).orderBy("query_id").collect()
+    r = retrieval.evaluate(hits, rel, spark.createDataFrame([(1,), (2,)], "query_id long"), ["s"], (1, 3)).orderBy("query_id").collect()
     assert (r[0].recall, r[0].precision, r[0].hit3) == (pytest.approx(2 / 3), pytest.approx(2 / 3), True) and (r[1].recall, r[1].precision) == (0, 0)
 
 
