@@ -208,7 +208,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
         for batch in batches:
-            yield pd.Series([np.frombuffer(x, dtype="<i4") for some in slices(batch.fillna("").tolist()) for x in c.encode_batch(some)])
+            for some in slices(batch.fillna("").tolist()):
+                yield pd.Series([np.frombuffer(x, dtype="<i4") for x in c.encode_batch(some)])
 
     return docs.withColumn(ids, F.pandas_udf(run, "array<int>")(F.col(text)))
 
@@ -230,15 +231,15 @@ def digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), wit
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for batch in batches:
-            rows, ids = [], []
+            # Each slice goes out by itself, so that the ids of a whole Arrow batch are never held at once.
             for some in slices(batch.fillna("").tolist()):
                 packed = c.encode_batch(some)
-                for text, x, decoded in zip(some, packed, c.decode_batch(packed)):
-                    rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text))
-                    if with_ids:
-                        ids.append(np.frombuffer(x, dtype="<i4"))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
-            yield out.assign(ids=ids) if with_ids else out
+                rows = [
+                    (len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text)
+                    for text, x, decoded in zip(some, packed, c.decode_batch(packed))
+                ]
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+                yield out.assign(ids=[np.frombuffer(x, dtype="<i4") for x in packed]) if with_ids else out
 
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     return docs.select(*keep, F.pandas_udf(digest, kind)("text").alias("x")).select(*keep, "x.*")
