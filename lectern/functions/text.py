@@ -154,8 +154,15 @@ def table_rows(text: Column) -> Column:
 
 
 def table_summary(rows: Column) -> Column:
-    """X20."""
-    return F.format_string("Table with %d rows and %d columns", F.size(rows), F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0)))
+    """X20. Size, header and first row of parsed rows, and how many more there are; cells cut at 40 characters."""
+    many = lambda n, what: F.concat(n.cast("string"), F.lit(f" {what}"), F.when(n == 1, "").otherwise("s"))
+    cell = lambda c: F.when(F.length(F.trim(c)) > 40, F.concat(F.substring(F.trim(c), 1, 37), F.lit("..."))).otherwise(F.trim(c))
+    row = lambda k, shown: F.array_join(F.transform(F.get(rows, F.lit(k)), shown), ", ")
+    n, columns = F.size(rows), F.array_max(F.transform(rows, lambda r: F.size(r)))
+    head = F.concat(F.lit("Table with "), many(n, "row"), F.lit(" x "), many(columns, "column"), F.lit(". Headers: "), row(0, lambda c: F.when(F.trim(c) == "", "(blank)").otherwise(cell(c))), F.lit("."))
+    first = F.when(n > 1, F.concat(F.lit(" First row: "), row(1, cell), F.lit("."))).otherwise("")
+    more = F.when(n > 2, F.concat(F.lit(" (+"), many(n - 2, "more row"), F.lit(".)"))).otherwise("")
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, "Empty table.").otherwise(F.concat(head, first, more))
 
 
 def math_expressions(text: Column) -> Column:
