@@ -57,11 +57,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives each document as many rows as the mix takes of it. Weights are the quality classifier's scores, fitted on all documents of the folder."""
-    own, taken_own, epochs, epoch, score = (unused(docs, name) for name in ("row_hash", "taken_hash", "mix_epochs", "mix_epoch", "quality_score"))
+    """Gives each document as many rows as the mix takes of it, weighed by what its text is like (``mixing.text_weight``)."""
+    own, taken_own, epochs, epoch = (unused(docs, name) for name in ("row_hash", "taken_hash", "mix_epochs", "mix_epoch"))
     hashed = docs.withColumn(own, row_hash(docs))
-    scored = quality_classifier.score(hashed, quality_model(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir), out=score)
-    taken = mixing.mix(scored.select("doc_id", "text", "source", own, score), keep=(own,), weight=F.col(score)).filter("epochs > 0")
+    taken = mixing.mix(hashed.select("doc_id", "text", "source", own), keep=(own,)).filter("epochs > 0")
     taken = taken.groupBy(F.col(own).alias(taken_own)).agg(F.max("epochs").cast("int").alias(epochs))
     rows = hashed.join(taken.hint("merge"), F.col(own) == F.col(taken_own))
     return rows.withColumn(epoch, F.explode(F.sequence(F.lit(1), epochs))).select(*docs.columns)
