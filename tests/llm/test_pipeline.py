@@ -3,7 +3,7 @@
 import hashlib
 import re
 from collections import Counter
-from math import log
+from math import log, sqrt
 
 import numpy as np
 
@@ -65,7 +65,14 @@ def redacted(spark, docs):
     return out
 
 
-def mixed(rows, quality):
+def text_weight(t):
+    lines, words = t.split("\n"), re.findall(r"[^\x20\x09-\x0D]+", t)
+    fresh, plain = len(set(lines)) / len(lines), 1 - len(re.findall(r"[#*$%&|<>]", t)) / max(len(t), 1)
+    variety = min(1.0, len(set(words)) / max(1.0, min(len(words), 2 * sqrt(len(words)))))
+    return fresh * plain**4 * variety
+
+
+def mixed(rows):
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, _, t in rows}
     own = Counter()
     for i, s, _ in rows:
@@ -86,7 +93,7 @@ def mixed(rows, quality):
         i, _, t = row
         name = f"{i}/{hashlib.md5(t.encode()).hexdigest()}"
         u = (int(hashlib.md5(name.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
-        return -log(u) / max(0.05, quality(t))
+        return -log(u) / max(0.05, text_weight(t))
 
     out, upto = [], Counter()
     for row in sorted(rows, key=key):
@@ -102,7 +109,7 @@ def test_run_equals_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     model = quality_model(spark)
     kept = [d for d in docs if score(model, d.text) >= 0.7]
-    rows = mixed(redacted(spark, without_near_copies(kept)), lambda text: score(model, text))
+    rows = mixed(redacted(spark, without_near_copies(kept)))
     library = sentencepiece_codec.codec(sentencepiece_codec.model_path()).library
     want = Counter((i, hashlib.sha256(np.array(library.encode(t, add_bos=True, add_eos=True), dtype="<u4").tobytes()).hexdigest()) for i, _, t in rows)
     got = Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
