@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lectern.functions.stemming import STOP_WORDS as STEM_STOP_WORDS
+from lectern.functions.stemming import stemmed
 from lectern.functions.text import tokens
+from lectern.sources.shared import stored
 
-#: Query vectors broadcast at a time (with 64 to 1536 numbers each: at most a few dozen megabytes).
-QUERY_BLOCK = 2_000
+#: Vectors in a block of corpus or queries (with 64 to 1536 numbers each: at most a few dozen megabytes).
+BLOCK = QUERY_BLOCK = 2_000
 #: Expansions of query tokens, and words that the keyword form of a query leaves out.
 SYNONYMS = {
     "os": "operating systems",
@@ -28,80 +33,194 @@ STOP_WORDS = "the a an is are was were what how why when where which who whom of
 
 
 def ranked(hits: DataFrame, k: int | None = None, offset: int = 0, *partition: str) -> DataFrame:
-    """W2, K1-K4. A 1-based rank for each query by score, nulls last, then id; kept between offset and offset + k."""
-    order = Window.partitionBy("query_id", *partition).orderBy(F.col("score").desc_nulls_last(), "id")
+    """W2, K1-K4. A 1-based rank for each query by score, nulls last, then newest first where hits have created_at, then id; kept between offset and offset + k."""
+    newest = [F.col("created_at").desc_nulls_last()] if "created_at" in hits.columns else []
+    order = Window.partitionBy("query_id", *partition).orderBy(F.col("score").desc_nulls_last(), *newest, "id")
     out = hits.withColumn("rank", F.row_number().over(order))
     return out if k is None else out.filter((F.col("rank") > offset) & (F.col("rank") <= offset + k))
 
 
+def _packed(id_type: pa.DataType, id_name: str):
+    """Rows (id, vector) -> one row for each BLOCK of them: ids, their vectors as a matrix of doubles, and part 0."""
+    schema = pa.schema([(f"{id_name}s", pa.list_(id_type)), (f"{id_name}_matrix", pa.binary()), ("part", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), BLOCK):
+                ids, vectors = batch.slice(k, BLOCK).columns
+                matrix = np.array(vectors.to_pylist(), dtype=np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], schema[0].type), pa.array([matrix.tobytes()], pa.binary()), pa.array([0], pa.int64())], schema=schema)
+
+    return run
+
+
+def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        if metric == "l2":
+            square = (x * x).sum(1)[None, :] - 2 * (q @ x.T) + (q * q).sum(1)[:, None]
+            return np.round(1 / (1 + np.sqrt(np.maximum(square, 0))), 6)
+        score = q @ x.T
+        if metric == "cosine":
+            score = score / np.linalg.norm(x, axis=1)[None, :] / np.linalg.norm(q, axis=1)[:, None]
+    return np.round(score, 6)
+
+
+def _nearest(k: int, metric: str, schema: pa.Schema):
+    """Pairs of blocks -> the k nearest of each query that this task has seen. Only k rows a query are held, and given out when the query block changes."""
+
+    def merged(best: list, query_ids: list, ids: list, score: np.ndarray) -> None:
+        key = np.where(np.isnan(score), -np.inf, score)
+        n = min(k, key.shape[1])
+        last = np.partition(key, -n, axis=1)[:, -n]
+        for a in range(len(query_ids)):
+            at = np.flatnonzero(key[a] >= last[a])
+            best[a] = sorted([*best[a], *[(-key[a, c], ids[c], score[a, c]) for c in at]], key=lambda t: t[:2])[:k]
+
+    def rows(query_ids: list, best: list) -> pa.RecordBatch:
+        flat = [(q, i, None if np.isnan(s) else float(s)) for q, found in zip(query_ids, best) for _, i, s in found]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat) if flat else ([], [], []), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, query_ids, best = None, [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != part:
+                    if best:
+                        yield rows(query_ids, best)
+                    part, query_ids, best = r["part"], r["query_ids"], [[] for _ in r["query_ids"]]
+                    q = np.frombuffer(r["query_id_matrix"]).reshape(len(query_ids), -1)
+                merged(best, query_ids, r["ids"], _scores(np.frombuffer(r["id_matrix"]).reshape(len(r["ids"]), -1), q, metric))
+        if best:
+            yield rows(query_ids, best)
+
+    return run
+
+
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
-    """R1-R4, K1, F4. The k nearest corpus vectors of each query: query_id, id, score, rank.
+    """R1-R4, K1, F4. The k nearest corpus vectors of each query: query_id, id, score, rank. Ids of any type.
 
-    Queries are a stated set: blocks of them are broadcast, and every task multiplies its own batches with a
-    block and keeps k rows for each query, so what is shuffled is k rows for each query and batch. Scores are rounded
-    to six digits before they are ranked. A zero vector has no cosine and ranks last.
+    Vectors of corpus and queries become rows of two tables of blocks, which are joined and multiplied. The corpus is
+    read once, whatever the number of queries: up to QUERY_BLOCK of them are one block, which is broadcast; of more,
+    blocks of corpus and queries meet in the cells of a grid, (slice, part), and both sides are shuffled. What is ranked is k rows
+    for each query and task. Scores are rounded to six digits first. A zero vector has no cosine and ranks last.
     """
     spark, n = corpus.sparkSession, queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "vector").collect()
-        sent = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.vector for r in rows], dtype=np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for b in batches:
-                if not len(ids) or not len(b):
-                    continue
-                x = np.array(b.vector.tolist(), dtype=np.float64)
-                with np.errstate(all="ignore"):
-                    if metric == "l2":
-                        square = (x * x).sum(1)[None, :] - 2 * (q @ x.T) + (q * q).sum(1)[:, None]
-                        score = 1 / (1 + np.sqrt(np.maximum(square, 0)))
-                    else:
-                        score = q @ x.T
-                        if metric == "cosine":
-                            score = score / np.linalg.norm(x, axis=1)[None, :] / np.linalg.norm(q, axis=1)[:, None]
-                score = np.round(score, 6)
-                key = np.where(np.isnan(score), -np.inf, score)
-                last = np.partition(key, -min(k, key.shape[1]), axis=1)[:, -min(k, key.shape[1])]
-                a, c = np.nonzero(key >= last[:, None])
-                if len(a) > k * len(ids):  # ties at the last place go by id
-                    order = np.lexsort((b.id.to_numpy()[c], -key[a, c], a))
-                    a, c = a[order], c[order]
-                    place = np.arange(len(a)) - np.searchsorted(a, a)
-                    a, c = a[place < k], c[place < k]
-                yield pd.DataFrame({"query_id": np.array(ids)[a], "id": b.id.to_numpy()[c], "score": score[a, c]})
-
-        found = corpus.select("id", "vector").mapInPandas(run, "query_id long, id long, score double").withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
-        out = found if out is None else out.unionByName(found)
+    id_kind, query_kind = corpus.schema["id"].dataType, queries.schema["query_id"].dataType
+    kind = f"query_id {query_kind.simpleString()}, id {id_kind.simpleString()}, score double"
+    schema = to_arrow_schema(StructType([StructField("query_id", query_kind), StructField("id", id_kind), StructField("score", DoubleType())]))
+    blocks = corpus.select("id", "vector").mapInArrow(_packed(schema.field("id").type, "id"), f"ids array<{id_kind.simpleString()}>, id_matrix binary, part long")
+    pack = _packed(schema.field("query_id").type, "query_id")
+    asked = queries.select("query_id", "vector")
+    asked_kind = f"query_ids array<{query_kind.simpleString()}>, query_id_matrix binary, part long"
+    if n <= QUERY_BLOCK:
+        # One block, of a size that has just been checked.
+        asked = asked.coalesce(1).mapInArrow(lambda batches: pack(_whole(batches)), asked_kind)
+        pairs = blocks.join(F.broadcast(asked), "part")
+    else:
+        parts, slices = -(-n // QUERY_BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        asked = asked.repartition(parts).mapInArrow(pack, asked_kind).withColumn("part", F.monotonically_increasing_id())
+        asked = stored(asked)
+        known = asked.select(F.collect_list("part")).first()[0]  # a number for each block of queries
+        grid = blocks.withColumn("slice", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(slices))).withColumn("part", F.explode(F.array(*[F.lit(p) for p in known])))
+        pairs = grid.join(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), ["slice", "part"])
+    found = pairs.select("part", "ids", "id_matrix", "query_ids", "query_id_matrix").mapInArrow(_nearest(k, metric, schema), kind)
     if metric == "dot":
-        out = out.withColumn("reference_form", 1 + F.col("score"))
-    return ranked(out if threshold is None else out.filter(F.col("score") >= threshold), k)
+        found = found.withColumn("reference_form", 1 + F.col("score"))
+    return ranked(found if threshold is None else found.filter(F.col("score") >= threshold), k)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a bounded table as one batch."""
+    if found := list(batches):
+        yield pa.Table.from_batches(found).combine_chunks().to_batches(max_chunksize=QUERY_BLOCK)[0]
+
+
+#: Words of a text for the substring branch: runs without blanks, lower-cased. A border is marked by a blank, which no word has.
+BLANKS, BORDER = r"[\x20\x09-\x0D]+", "\n"
+GRAM = 3
+
+
+def _runs(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANKS), "")
+
+
+def _grams(text: Column, n: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substr(text, k, n)))
+
+
+def _stem_words(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
+    """Words of the vocabulary with a token of an asked stem: word, stem, times.
+
+    A stem but for its last two letters, or its first letter, begins every word that it comes from (a test holds this against many
+    words), so only tokens with such a beginning are stemmed.
+    """
+    inside = vocabulary.select(F.col("word").alias("run"), F.explode(tokens(F.col("word"))).alias("word")).filter(~F.col("word").isin(STEM_STOP_WORDS)).groupBy("run", "word").agg(F.count("*").alias("times"))
+    heads = asked.select(F.expr("left(stem, greatest(1, length(stem) - 2))").alias("head")).distinct()
+    lengths = F.array(*[F.lit(r.n) for r in heads.select(F.length("head").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
+    begun = inside.select("word").distinct().select("word", F.explode(lengths).alias("n")).select("word", F.expr("left(word, n)").alias("head")).join(heads, "head", "left_semi").select("word").distinct()
+    kinds = stemmed(begun).join(asked.select("stem").distinct(), "stem", "left_semi")
+    return inside.join(kinds, "word").groupBy(F.col("run").alias("word"), "stem").agg(F.sum("times").alias("times"))
+
+
+def _part_words(vocabulary: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Words of the vocabulary, between borders, that contain a pattern: pattern, word, uses.
+
+    Words are looked up by n-grams, of three characters or as long as the pattern. Each pattern goes by its
+    rarest, and the words found are compared as a whole.
+    """
+    wanted = patterns.select("pattern", F.least(F.lit(GRAM), F.length("pattern")).alias("n"))
+    lengths = [r.n for r in wanted.select("n").distinct().collect()]
+    wanted = wanted.select("pattern", F.explode(_grams(F.col("pattern"), F.col("n"))).alias("gram"))
+    marked = vocabulary.select("word", "uses", F.concat(F.lit(BORDER), "word", F.lit(BORDER)).alias("marked"))
+    posted = marked.select("word", "uses", "marked", F.explode(F.concat(F.array().cast("array<string>"), *[_grams(F.col("marked"), F.lit(n)) for n in lengths])).alias("gram"))
+    rarity = posted.select("gram").join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("words"))
+    # A pattern with a gram that no word has is in no word.
+    rarest = wanted.join(rarity, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("words", F.lit(0)).alias("words"), "gram"))["gram"].alias("gram"))
+    return posted.join(stored(rarest), "gram").filter(F.contains("marked", "pattern")).select("pattern", "word", "uses")
 
 
 def keyword_search(corpus: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
-    """R5, R6, K2. Texts that hold all words of a query, or the query itself whatever the case: query_id, id, score, distance, rank.
+    """R5, R6, K2. Texts that hold all stems of a query, or the query itself whatever the case: query_id, id, score, distance, rank.
+
+    Both branches ask the distinct words of the corpus first, so that stems are worked out, and n-grams matched, once a word and not once a
+    text; only the words found are then looked for in the texts. A query within one word is answered by the words alone. Of a longer one,
+    its rarest word gives the candidates, and their texts are searched. No text meets a query that it shares no word with.
 
-    Words meet in an equi-join of posting lists, which is pre-aggregated by text. The score is the mean of
-    tf / (tf + 1) over the query's words, 0.05 at least where the query stands in the text as it is.
+    The score is the mean of tf / (tf + 1) over the query's stems, 0.05 at least where the query stands in the
+    text as it is. Stop words don't count; a query of stop words alone is looked for as it is. Ties go to
+    the newest, if the corpus has created_at, then by id.
     """
-    q = queries.select("query_id", "query", F.array_distinct(tokens(F.col("query"))).alias("words")).withColumn("n", F.size("words"))
-    wanted = q.select("query_id", "n", F.explode("words").alias("word"))
-    vocabulary = wanted.select("word").distinct()
-    postings = corpus.select("id", F.explode(tokens(F.col("text"))).alias("word")).join(F.broadcast(vocabulary) if vocabulary.count() <= 100_000 else vocabulary, "word", "left_semi").groupBy("id", "word").agg(F.count("*").alias("tf"))
-    hits = postings.join(wanted, "word").groupBy("query_id", "id", "n").agg(F.count("*").alias("found"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("sum")).filter("found = n")
-    hits = hits.select("query_id", "id", (F.col("sum") / F.col("n")).alias("words_score"))
-    # Queries are a stated set: they are looked for in every text as they are, in broadcast blocks.
-    asked, blocks = q.filter("trim(query) <> ''").select("query_id", F.lower("query").alias("asked")), max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = None
-    for block in range(blocks):
-        some = F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block))
-        found = corpus.select("id", F.lower("text").alias("text")).join(some, F.contains("text", "asked")).select("query_id", "id", F.lit(0.05).alias("part_score"))
-        parts = found if parts is None else parts.unionByName(found)
-    both = hits.join(parts, ["query_id", "id"], "full_outer")
-    score = F.round(F.greatest(F.coalesce("words_score", F.lit(0.0)), F.coalesce("part_score", F.lit(0.0))), 6)
+    q = queries.select("query_id", F.lower(F.regexp_replace("query", f"^{BLANKS}|{BLANKS}$", "")).alias("asked"))
+    q = stored(q.filter("asked <> ''"))
+    runs = corpus.select("id", F.explode(_runs(F.col("text"))).alias("word"))
+    vocabulary = stored(runs.groupBy("word").agg(F.count("*").alias("uses")))
+    words = q.select("query_id", F.explode(F.array_distinct(tokens(F.col("asked")))).alias("word")).filter(~F.col("word").isin(STEM_STOP_WORDS))
+    stems = words.join(stemmed(words.select("word").distinct()), "word").select("query_id", "stem").distinct()
+    stems = stored(stems.join(stems.groupBy("query_id").agg(F.count("*").alias("n")), "query_id"))
+    by_stem = stored(_stem_words(vocabulary, stems))
+    # Parts of a query, with a border wherever it goes on.
+    split = q.select("query_id", F.split("asked", BLANKS).alias("parts")).select("query_id", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part"))
+    pattern = F.concat(F.when(F.col("i") > 0, BORDER).otherwise(""), "part", F.when(F.col("i") + 1 < F.col("n"), BORDER).otherwise(""))
+    parts = split.select("query_id", "n", "i", pattern.alias("pattern"))
+    by_part = stored(_part_words(vocabulary, parts.select("pattern").distinct()))
+    weights = by_part.groupBy("pattern").agg(F.sum("uses").alias("uses"))
+    least = parts.join(weights, "pattern").groupBy("query_id", "n").agg(F.count("*").alias("found"), F.min(F.struct("uses", "i", "pattern"))["pattern"].alias("pattern")).filter("found = n")
+    asked_words = least.join(by_part.select("pattern", "word"), "pattern").select("query_id", "n", "word")
+    # The postings of the words found, and of no others, written once.
+    wanted = by_stem.select("word").unionByName(asked_words.select("word")).distinct()
+    postings = runs.join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "word", "left_semi").groupBy("id", "word").agg(F.count("*").alias("tf"))
+    postings = stored(postings)
+    tf = postings.join(by_stem, "word").groupBy("id", "stem").agg(F.sum(F.col("tf") * F.col("times")).alias("tf"))
+    hits = tf.join(stems, "stem").groupBy("query_id", "id", "n").agg(F.count("*").alias("found"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("sum")).filter("found = n")
+    hits = hits.select("query_id", "id", (F.col("sum") / F.col("n")).alias("stem_score"))
+    near = postings.join(asked_words, "word").select("query_id", "id", "n").distinct()
+    long = near.filter("n > 1").join(q, "query_id").join(corpus.select("id", F.lower("text").alias("text")), "id").filter(F.contains("text", "asked"))
+    exact = near.filter("n = 1").select("query_id", "id").unionByName(long.select("query_id", "id")).withColumn("part_score", F.lit(0.05))
+    both = hits.join(exact, ["query_id", "id"], "full_outer")
+    score = F.round(F.greatest(F.coalesce("stem_score", F.lit(0.0)), F.coalesce("part_score", F.lit(0.0))), 6)
     both = both.select("query_id", "id", score.alias("score")).withColumn("distance", F.greatest(F.lit(0.0), 1 - F.col("score")))
+    if "created_at" in corpus.columns:
+        return ranked(both.join(corpus.select("id", "created_at"), "id", "left"), k).drop("created_at")
     return ranked(both, k)
 
 
@@ -170,8 +289,9 @@ def variants(rewritten: DataFrame) -> DataFrame:
 
 
 def fuse_lists(lists: DataFrame, k: int, offset: int = 0, rrf_k: int = 60) -> DataFrame:
-    """R15, U2. Lists (query_id, variant, id, rank) -> one list by the sum of 1 / (60 + rank); the offset counts once, after it."""
-    rows = lists.groupBy("query_id", "id").agg(F.round(F.sum(1 / (rrf_k + F.col("rank"))), 8).alias("score"), F.count("*").alias("lists"))
+    """R15, U2, U7. Lists (query_id, variant, source, id, rank) -> one list by the sum of 1 / (60 + rank), with the number of lists and the sources that had it; the offset counts once, after it."""
+    sources = F.array_join(F.array_sort(F.collect_set("source")), ",")
+    rows = lists.groupBy("query_id", "id").agg(F.round(F.sum(1 / (rrf_k + F.col("rank"))), 8).alias("score"), F.count("*").alias("lists"), sources.alias("sources"))
     return ranked(rows, k, offset)
 
 
@@ -182,17 +302,42 @@ def union_first(lists: DataFrame, k: int) -> DataFrame:
     return first.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "id", "place")
 
 
-def evaluate(hits: DataFrame, qrels: DataFrame, queries: DataFrame, strategies: list[str], ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
-    """A16, R16-R18. hits (strategy, query_id, id, rank), qrels (query_id, id) -> recall, precision and hit@k for each strategy and query, zero where it has no hits."""
-    relevant = qrels.distinct().withColumn("relevant", F.lit(1))
-    totals = qrels.distinct().groupBy("query_id").agg(F.count("*").alias("total"))
-    per = hits.join(relevant, ["query_id", "id"], "left").groupBy("strategy", "query_id").agg(F.count("*").alias("retrieved"), F.count("relevant").alias("shared"), *[F.count_if(F.col("relevant").isNotNull() & (F.col("rank") <= k)).alias(f"at{k}") for k in ks])
+def _measures(judged: DataFrame, totals: DataFrame, queries: DataFrame, strategies: list[str], ks: tuple[int, ...]) -> DataFrame:
+    """Hits (strategy, query_id, rank, relevant) and relevant rows of each query (query_id, total) -> the measures of each strategy and query, zero where it has no hits."""
+    per = judged.groupBy("strategy", "query_id").agg(F.count("*").alias("retrieved"), F.count_if("relevant").alias("shared"), *[F.count_if(F.col("relevant") & (F.col("rank") <= k)).alias(f"at{k}") for k in ks])
     grid = queries.select("query_id", F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"))
     rows = grid.join(per, ["strategy", "query_id"], "left").join(totals, "query_id", "left").fillna(0)
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return rows.select("strategy", "query_id", share("shared", "total").alias("recall"), share("shared", "retrieved").alias("precision"), *[(F.col(f"at{k}") > 0).alias(f"hit{k}") for k in ks])
 
 
+def evaluate(hits: DataFrame, qrels: DataFrame, queries: DataFrame, strategies: list[str], ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """A16, R16-R18. hits (strategy, query_id, id, rank), qrels (query_id, id) -> recall, precision and hit@k for each strategy and query."""
+    pairs = qrels.distinct()
+    judged = hits.join(pairs.withColumn("relevant", F.lit(True)), ["query_id", "id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    return _measures(judged, pairs.groupBy("query_id").agg(F.count("*").alias("total")), queries, strategies, ks)
+
+
+def relevance(classes: DataFrame, queries: DataFrame) -> DataFrame:
+    """S9. classes (id, label), queries (query_id, label) -> query_id, label, total: a row for each query, with the number of rows of its class in place of their list."""
+    sizes = classes.select("id", "label").distinct().groupBy("label").agg(F.count("*").alias("total"))
+    return queries.select("query_id", "label").join(sizes, "label", "left").fillna(0, ["total"])
+
+
+def evaluate_by_class(hits: DataFrame, classes: DataFrame, queries: DataFrame, strategies: list[str], ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """A16, R16-R18, where what is relevant are the rows of a query's class: hits meet classes by id, so no list of relevant pairs is made."""
+    own = queries.select("query_id", F.col("label").alias("wanted"))
+    found = hits.join(classes.select("id", "label").distinct(), "id", "left").join(own, "query_id", "left")
+    judged = found.groupBy("strategy", "query_id", "id", "rank").agg(F.coalesce(F.bool_or(F.col("label") == F.col("wanted")), F.lit(False)).alias("relevant"))
+    return _measures(judged, relevance(classes, queries).select("query_id", "total"), queries, strategies, ks)
+
+
+def by_category(evaluation: DataFrame, categories: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """R18. Means for each strategy and category of query (query_id, category)."""
+    rows = evaluation.join(categories.select("query_id", "category"), "query_id")
+    return rows.groupBy("strategy", "category").agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), *[F.avg(F.col(f"hit{k}").cast("int")).alias(f"hit{k}") for k in ks])
+
+
 def compare(evaluation: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
     """A17, R19. Means for each strategy."""
     return evaluation.groupBy("strategy").agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), *[F.avg(F.col(f"hit{k}").cast("int")).alias(f"hit{k}") for k in ks])

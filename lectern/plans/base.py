@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.shared import new_folder
 from lectern.sources.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,15 +28,7 @@ class Views:
 
 
 def folder(v: Views) -> str:
-    """A new folder in the session's spark.checkpoint.dir. Where that is unset, a local session gets a new one and a cluster an error."""
-    sc = v.spark.sparkContext
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return new_folder(v.spark)
 
 
 def query(name: str, sql: str | None = None, *views: str, digits: int = 6):

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions.stemming import STOP_WORDS, duck_chain
 from lectern.operators import bank
 from lectern.operators import retrieval as r
+from lectern.sources.shared import stored
 
 from .base import query
 
 BASE = ("questions", "vectors", "question_topics")
-CTE = """qs as (select id as query_id, array_to_string(list_filter(regexp_split_to_array(lower(question_text), '[^a-z0-9]+'), lambda x: length(x) >= 3)[1:2], ' ') as query from questions where id % 100 = 0),
+CTE = f"""qs as (select id as query_id, array_to_string(list_filter(regexp_split_to_array(lower(question_text), '[^a-z0-9]+'), lambda x: length(x) >= 3)[1:2], ' ') as query from questions where id % 100 = 0),
   qv as (select question_id as query_id, embedding::double[] as e, label from vectors where question_id % 100 = 0),
   tf as (select id, t, count(*) as n from (select id, unnest(list_filter(regexp_split_to_array(lower(question_text), '[^a-z0-9]+'), lambda x: x <> '')) as t from questions) group by all),
   qt as (select query_id, query, unnest(list_distinct(list_filter(string_split(query, ' '), lambda x: x <> ''))) as t from qs),
-  qn as (select query_id, count(*) as k from qt group by all),
-  kw as (select query_id, id, sum(n / (n + 1)) / any_value(k) as s from tf join qt using (t) join qn using (query_id) group by query_id, id having count(*) = any_value(k)),
+  told as (select distinct t as word from (select t from tf union all select t from qt) where t not in ({", ".join(repr(w) for w in STOP_WORDS)})),
+  {duck_chain("told", "kinds")},
+  ts as (select id, stem, sum(n) as n from tf join kinds on word = t group by all),
+  qst as (select distinct query_id, stem from qt join kinds on word = t),
+  qn as (select query_id, count(*) as k from qst group by all),
+  kw as (select query_id, id, sum(n / (n + 1)) / any_value(k) as s from ts join qst using (stem) join qn using (query_id) group by query_id, id having count(*) = any_value(k)),
   sub as (select query_id, id from questions join qs on trim(query) <> '' and contains(lower(question_text), query)),
   ks as (select query_id, id, round(greatest(coalesce(s, 0), case when sub.id is not null then 0.05 else 0 end), 6) as score from kw full outer join sub using (query_id, id)),
-  kr as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from ks) where rank <= 10),
+  kr as (select query_id, id, score, rank from (select ks.*, row_number() over (partition by query_id order by score desc, created_at desc, id) as rank from ks join questions using (id)) where rank <= 10),
   vs as (select query_id, question_id as id, round(list_cosine_similarity(embedding::double[], e), 6) as score from vectors, qv),
   vr as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from vs) where rank <= 10),
   fw as (select query_id, id, round(0.5 * coalesce(vr.score, 0) + 0.5 * coalesce(kr.score, 0), 8) as score, concat_ws(',', case when kr.rank is not null then 'keyword' end, case when vr.rank is not null then 'vector' end) as sources from vr full outer join kr using (query_id, id)),
@@ -38,7 +44,7 @@ CTE = """qs as (select id as query_id, array_to_string(list_filter(regexp_split_
 
 
 def _inputs(v):
-    corpus = v.questions.select("id", F.col("question_text").alias("text"), "document_id")
+    corpus = v.questions.select("id", F.col("question_text").alias("text"), "document_id", "created_at")
     vectors = v.vectors.select(F.col("question_id").alias("id"), F.col("embedding").alias("vector"), "label", "model")
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) >= 3)
     text = corpus.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("query"))
@@ -144,13 +150,13 @@ def _(v):
     return r.variants(r.rewrite(_asked(v)).withColumn("topics", F.array(F.lit("t1")))).select("query_id", "query")
 
 
-FUSED = "f as (select query_id, id, round(sum(1 / (60 + rank)), 8) as score, count(*) as lists from ls where strategy in ('vector', 'keyword') group by all)"
+FUSED = "f as (select query_id, id, round(sum(1 / (60 + rank)), 8) as score, count(*) as lists, string_agg(distinct strategy, ',' order by strategy) as sources from ls where strategy in ('vector', 'keyword') group by all)"
 
 
 @query("R15_fuse_lists", f"with {CTE}, {FUSED} select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from f) where rank > 2 and rank <= 12", *BASE, digits=8)
 def _(v):
     *_, vr, kr = _branches(v)
-    lists = vr.select("query_id", F.lit(0).alias("variant"), "id", "rank").unionByName(kr.select("query_id", F.lit(1).alias("variant"), "id", "rank"))
+    lists = vr.select("query_id", F.lit(0).alias("variant"), F.lit("vector").alias("source"), "id", "rank").unionByName(kr.select("query_id", F.lit(1).alias("variant"), F.lit("keyword").alias("source"), "id", "rank"))
     return r.fuse_lists(lists, 10, 2)
 
 
@@ -162,35 +168,42 @@ def _(v):
 
 def _strategies(v):
     corpus, vectors, text, vector, vr, kr = _branches(v)
-    hybrid = r.fuse(vr, kr, 10)
+    vr, kr = stored(vr), stored(kr)  # five strategies share them
+    hybrid = stored(r.fuse(vr, kr, 10))
     links = v.question_topics.filter("topic_id like 'v%'").select(F.col("question_id").alias("id"))
     lists = {"vector": vr, "keyword": kr, "hybrid": hybrid, "hybrid+rerank": r.rerank(hybrid, text, corpus, r.exact_boost()), "metadata": r.vector_search(bank.only(vectors, links), vector, 10)}
     hits = None
     for name, df in lists.items():
         rows = df.select(F.lit(name).alias("strategy"), "query_id", "id", "rank")
         hits = rows if hits is None else hits.unionByName(rows)
-    qrels = vectors.join(vector.select("query_id", "label"), "label").select("query_id", "id")
-    return hits, qrels, text, [*lists]
+    asked = text.join(vector.select("query_id", "label"), "query_id", "left")
+    return hits, vectors.select("id", "label"), asked, [*lists]
 
 
-@query("S9_relevance", f"with {CTE} select * from rel", *BASE)
+@query("S9_relevance", f"with {CTE} select query_id, label, count(*) as total from qv join rel using (query_id) group by all", *BASE)
 def _(v):
-    return _strategies(v)[1]
+    _, vectors, _, vector = _inputs(v)
+    return r.relevance(vectors, vector)
 
 
 @query("A16_evaluation", f"with {CTE} select strategy, query_id, round(recall, 6) as recall, round(precision, 6) as precision, hit3, hit5, hit10 from em", *BASE)
 def _(v):
-    return r.evaluate(*_strategies(v))
+    return r.evaluate_by_class(*_strategies(v))
+
+
+@query("R18_by_category", f"with {CTE} select strategy, subject as category, count(*) as queries, round(avg(recall), 6) as recall, round(avg(precision), 6) as precision, round(avg(hit3::int), 6) as hit3, round(avg(hit5::int), 6) as hit5, round(avg(hit10::int), 6) as hit10 from em join questions on id = query_id group by all", *BASE)
+def _(v):
+    return r.by_category(r.evaluate_by_class(*_strategies(v)), v.questions.select(F.col("id").alias("query_id"), F.col("subject").alias("category")))
 
 
 @query("A17_strategies", f"with {CTE} select strategy, queries, round(recall, 6) as recall, round(precision, 6) as precision, round(hit3, 6) as hit3, round(hit5, 6) as hit5, round(hit10, 6) as hit10 from cm", *BASE)
 def _(v):
-    return r.compare(r.evaluate(*_strategies(v)))
+    return r.compare(r.evaluate_by_class(*_strategies(v)))
 
 
 @query("K9_best_strategy", f"with {CTE} select strategy, round(recall, 6) as recall from cm order by recall desc, hit5 desc, hit10 desc, strategy limit 1", *BASE)
 def _(v):
-    return r.best(r.compare(r.evaluate(*_strategies(v)))).select("strategy", "recall")
+    return r.best(r.compare(r.evaluate_by_class(*_strategies(v)))).select("strategy", "recall")
 
 
 @query("R20_by_document", f"""with {CTE}, g as (select query_id, document_id, count(*) as hits, max(score) as top_score, array_to_string(list(id order by score desc, id), ',') as children from hw join questions using (id) group by all)

@@ -121,7 +121,7 @@ def test_fusion(spark):
     vector, keyword = spark.createDataFrame([(1, 1, 0.9, 1), (1, 2, 0.1, 2)], ranks), spark.createDataFrame([(1, 2, 0.9, 1), (1, 1, 0.1, 2)], ranks)
     first = lambda w: retrieval.fuse(vector, keyword, 10, weights=w).orderBy("rank").first()
     assert (first((0.8, 0.2)).id, first((0.8, 0.2)).score) == (1, 0.74) and first((0.2, 0.8)).id == 2
-    lists = spark.createDataFrame([(1, 0, 1, 1), (1, 0, 2, 2), (1, 1, 2, 1), (1, 1, 3, 2)], "query_id long, variant int, id long, rank int")
+    lists = spark.createDataFrame([(1, 0, "v", 1, 1), (1, 0, "v", 2, 2), (1, 1, "k", 2, 1), (1, 1, "k", 3, 2)], "query_id long, variant int, source string, id long, rank int")
     fused = retrieval.fuse_lists(lists, 60).orderBy("rank").collect()
     assert len(fused) == 3 and fused[0].id == 2 and fused[0].lists == 2
 
