@@ -1,19 +1,23 @@
-"""From page text to questions: a window form for all lines at once, and an exact fold for each document.
+"""From page text to questions: a window form for all lines at once, and an exact form by a small automaton over ranges of pages.
 
-The fold reads one document's lines in order, as joining a line to the open question depends on how long that
-one is by then; documents are independent, so one task folds many of them. What follows the cut (options,
-type, confidence, notes) is column work.
+Whether a line joins the open question depends on how that one ends and how long it is by then, so the exact form
+is a scan: ranges of pages are summed up as tables of states, composed, and cut with the state they begin with. What
+follows the cut (options, type, confidence, notes) is column work.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
+
+from lectern.sources.shared import stored
 
 from .bank import nearest_above
 
@@ -30,6 +34,10 @@ DESCRIPTIVE = r"(?i)\b(explain|describe|discuss|elaborate|state|define|illustrat
 QUESTION_WORDS = ("what is", "define", "explain", "describe", "discuss", "calculate", "which", "how", "why", "determine", "find", "deadlock", "process", "paging", "scheduling", "preemptive")
 TITLE_MARKS = ("PYQ", "MCQ Test")
 
+#: Lengths in bytes at which the rules change.
+SHORT_TITLE, COURSE_TITLE, SHOUTED_LEAST, SHOUTED_MOST, LONG_LINE, SHORT_HEADER, LEAST_START = 25, 80, 5, 50, 60, 40, 15
+LONG_TEXT, LONGER_TEXT = 50, 80
+
 _START, _STRICT, _OPTION, _PART, _HEADER = (re.compile(p) for p in (START, STRICT, OPTION, PART, HEADER))
 
 
@@ -41,104 +49,210 @@ def size(text: str) -> int:
 def looks_like_title(line: str) -> bool:
     """X11."""
     n, low = size(line), line.lower()
-    short = n < 25 and "?" not in line and "." not in line and line.count(" ") <= 3
-    course = n < 80 and "?" not in line and "operating system" in low and not any(w in low for w in ("what", "define", "explain")) and any(m in line for m in ("–", "-", "202"))
-    shouted = 5 < n < 50 and line == line.upper()
+    short = n < SHORT_TITLE and "?" not in line and "." not in line and line.count(" ") <= 3
+    course = n < COURSE_TITLE and "?" not in line and "operating system" in low and not any(w in low for w in ("what", "define", "explain")) and any(m in line for m in ("–", "-", "202"))
+    shouted = SHOUTED_LEAST < n < SHOUTED_MOST and line == line.upper()
     return any(m in line for m in TITLE_MARKS) or short or course or shouted
 
 
 def looks_like_question(line: str) -> bool:
     """X11."""
     low = line.lower()
-    return "?" in line or any(w in low for w in QUESTION_WORDS) or (size(line) > 60 and " " in line)
+    return "?" in line or any(w in low for w in QUESTION_WORDS) or (size(line) > LONG_LINE and " " in line)
+
+
+class State(NamedTuple):
+    """What the lines so far mean for the next one. All that counts of the last question's text is here, so there are only some hundred states."""
+
+    kind: str = "none"  # none: no question yet; bare: a number without text; open; shut: ended by a header
+    numbered: bool = False  # whether a numbered question has come
+    ended: bool = False  # whether the text ends as a sentence does
+    size: int = 0  # bytes of the text, MOST at most
+    blanks: int = 0  # empty lines behind it, MOST at most
+    start: int = -1  # place of the question's first line, -1: before these lines
+
 
+MOST = LONGER_TEXT + 1
 
-def continues(text: str, line: str) -> bool:
+
+def continues(before: State, line: str) -> bool:
     """X4. Whether a line belongs to the text before it."""
-    before = text.strip()
-    if not before or before[-1] in ".?!:":
+    if not before.size or before.ended:
         return False
     if _OPTION.match(line) or _PART.match(line):
         return True
-    if size(before) > 50 and "a" <= line[:1] <= "z":
+    if before.size > LONG_TEXT and "a" <= line[:1] <= "z":
         return True
-    return bool(_START.match(line)) and not _STRICT.match(line) and size(before) > 80
-
-
-@dataclass
-class Piece:
-    number: str | None
-    start: int
-    end: int
-    how: str
-    lines: list[str] = field(default_factory=list)
-
-    @property
-    def text(self) -> str:
-        return "\n".join(self.lines).strip()
-
-
-def segments(lines: Iterator[tuple[int, str]]) -> list[Piece]:
-    """X3. Pieces of one document from its (page, line) pairs in order."""
-    done: list[Piece] = []
-    piece: Piece | None = None
-    numbered = False
-
-    def close() -> None:
-        nonlocal piece
-        if piece is not None and piece.text:
-            done.append(piece)
-        piece = None
-
-    def extend(page: int, line: str) -> None:
-        piece.lines.append(line)
-        piece.end = page
-
-    for page, raw in lines:
-        line, has_text = raw.strip(), piece is not None and bool(piece.lines)
-        if not line:
-            if has_text:
-                piece.lines.append("")
-        elif _HEADER.match(line):
-            if has_text and size(line) < 40:
-                extend(page, line)
-            elif has_text:
-                close()
-        elif m := _START.match(line):
-            number, rest = m[1], m[2].strip()
-            if len(number) == 4 and number.startswith("20") and not rest:  # a year by itself
-                if has_text:
-                    extend(page, line)
-            elif has_text and continues(piece.text, line):
-                extend(page, line)
-            else:
-                close()
-                numbered = True
-                piece = Piece(number, page, page, "strict" if _STRICT.match(line) else number, [rest] if rest else [])
-        elif piece is not None:
-            extend(page, line)
-        elif numbered:
-            if done and continues(done[-1].text, line):
-                done[-1].lines.append(line)
-                done[-1].end = max(done[-1].end, page)
-            else:
-                piece = Piece(None, page, page, "unnumbered-after-numbered", [line])
-        elif size(line) > 15 and not looks_like_title(line) and looks_like_question(line):
-            piece = Piece(None, page, page, "unnumbered-start", [line])
-    close()
-    return done
+    return bool(_START.match(line)) and not _STRICT.match(line) and before.size > LONGER_TEXT
+
+
+def text_state(text: str) -> State:
+    text = text.strip()
+    return State("open", True, text[-1:] in tuple(".?!:"), min(MOST, size(text)))
+
+
+def _added(s: State, line: str) -> State:
+    n = size(line) if s.kind == "bare" else s.size + s.blanks + 1 + size(line)
+    return s._replace(kind="open" if s.kind == "bare" else s.kind, ended=line[-1] in ".?!:", size=min(MOST, n), blanks=0)
+
+
+def step(s: State, line: str, at: int) -> tuple[State, tuple | None]:
+    """X3. One stripped line, at a place -> the next state, and what the line does: ("add", text), or ("new", number, text, how)."""
+
+    def begun(number: str | None, text: str, how: str, numbered: bool):
+        kind = State("bare", numbered, start=at)
+        return (_added(kind, text) if text else kind), ("new", number, text, how)
+
+    if not line:
+        return (s._replace(blanks=min(MOST, s.blanks + 1)), ("add", "")) if s.kind == "open" else (s, None)
+    if _HEADER.match(line):
+        if s.kind == "open" and size(line) < SHORT_HEADER:
+            return _added(s, line), ("add", line)
+        return (s._replace(kind="shut") if s.numbered else State()) if s.kind == "open" else s, None
+    if m := _START.match(line):
+        number, rest = m[1], m[2].strip()
+        if len(number) == 4 and number.startswith("20") and not rest:  # a year by itself
+            return (_added(s, line), ("add", line)) if s.kind == "open" else (s, None)
+        if s.kind == "open" and continues(s, line):
+            return _added(s, line), ("add", line)
+        return begun(number, rest, "strict" if _STRICT.match(line) else number, True)
+    if s.kind in ("open", "bare") or (s.kind == "shut" and continues(s, line)):
+        return _added(s, line), ("add", line)
+    if s.kind == "shut":
+        return begun(None, line, "unnumbered-after-numbered", True)
+    if size(line) > LEAST_START and not looks_like_title(line) and looks_like_question(line):
+        return begun(None, line, "unnumbered-start", False)
+    return s, None
+
+
+def _classes() -> list[State]:
+    """A state for every way in which those before a range can differ for it: the text's length enters its first line by a class, later by length and blanks together."""
+    out = [State(), State("bare", True)]
+    for kind, numbered in (("open", True), ("open", False), ("shut", True)):
+        for ended in (False, True):
+            for most, least in ((LONG_TEXT, 1), (LONGER_TEXT, LONG_TEXT + 1), (MOST, MOST)):
+                out += [State(kind, numbered, ended, min(n, most), n - min(n, most)) for n in range(least, MOST + 1)]
+    return out
 
 
-def segment(pages: DataFrame) -> DataFrame:
-    """X3, X4. Pages (document_id, page_number, text) -> document_id, position, number, text, start_page, end_page, how."""
+def _class(s: State) -> State:
+    """The one of _classes that a state belongs to."""
+    if s.kind in ("none", "bare"):
+        return State(s.kind, s.numbered)
+    most = LONG_TEXT if s.size <= LONG_TEXT else LONGER_TEXT if s.size <= LONGER_TEXT else MOST
+    n = min(MOST, s.size + s.blanks)
+    return State(s.kind, s.numbered, s.ended, min(n, most), n - min(n, most))
+
+
+CLASSES = _classes()
+_STATE = pa.struct([("kind", pa.string()), ("numbered", pa.bool_()), ("ended", pa.bool_()), ("size", pa.int32()), ("blanks", pa.int32()), ("start", pa.int64())])
+STATE = "struct<kind:string,numbered:boolean,ended:boolean,size:int,blanks:int,start:long>"
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("page_number")
-        lines = ((int(p), line) for p, text in zip(rows.page_number, rows.text) for line in (text or "").split("\n"))
-        out = [(pdf.document_id.iloc[0], k, s.number, s.text, s.start, s.end, s.how) for k, s in enumerate(segments(lines))]
-        return pd.DataFrame(out, columns=["document_id", "position", "number", "text", "start_page", "end_page", "how"])
+def _lines(run: list[dict]) -> Iterator[tuple[int, int, str]]:
+    """(place, page, stripped line) of a document's pages in a range."""
+    at = 0
+    for r in run:
+        for line in (r["text"] or "").split("\n"):
+            yield at, r["page_number"], line.strip()
+            at += 1
 
-    return pages.select("document_id", "page_number", "text").groupBy("document_id").applyInPandas(run, "document_id long, position int, number string, text string, start_page int, end_page int, how string")
+
+def _documents(table: pa.Table) -> Iterator[list[dict]]:
+    run: list[dict] = []
+    for batch in table.sort_by([(c, "ascending") for c in ("document_id", "page_number", "text")]).to_batches(max_chunksize=1024):
+        for r in batch.to_pylist():
+            if run and r["document_id"] != run[0]["document_id"]:
+                yield run
+                run = []
+            run.append(r)
+    if run:
+        yield run
+
+
+def _transitions(run: list[dict]) -> list[State]:
+    """The state behind a document's lines for each state before them. Different states soon become alike, so few are followed."""
+    now = {k: [k] for k in CLASSES}  # state: the classes that have come to it
+    for at, _, line in _lines(run):
+        then: dict[State, list] = {}
+        for s, came in now.items():
+            then.setdefault(step(s, line, at)[0], []).extend(came)
+        now = then
+    end = {k: s for s, came in now.items() for k in came}
+    return [end[k] for k in CLASSES]
+
+
+def segment(pages: DataFrame) -> DataFrame:
+    """X3, X4. Pages (document_id, page_number, text) -> document_id, position, number, text, start_page, end_page, how.
+
+    What a line means depends on the lines before it by a small state alone (State). Pages are cut into ranges by document and number,
+    from a sample that Spark takes. A document that goes over several ranges gets for each of them a table of states behind by states before;
+    these are composed along the document, and every range is then cut with the state it begins with. Pieces of a question from several ranges
+    are joined at the end. So no document is gathered in one task. Null texts are empty; pages of one number go by text.
+    """
+    spark, id_kind = pages.sparkSession, pages.schema["document_id"].dataType
+    id_name, id_arrow = id_kind.simpleString(), to_arrow_schema(StructType([StructField("document_id", id_kind)])).field(0)
+    rows = pages.select("document_id", F.col("page_number").cast("long").alias("page_number"), "text").filter("document_id is not null")
+    ranged = stored(rows.repartitionByRange("document_id", "page_number", F.md5("text")).withColumn("range", F.spark_partition_id()))
+    # At most two documents of a range go into another one, so the tables below grow with the number of ranges alone.
+    wide = ranged.groupBy("document_id").agg(F.min("range").alias("a"), F.max("range").alias("b")).filter("a < b").select("document_id")
+
+    def tables(table: pa.Table) -> pa.Table:
+        out = [(run[0]["document_id"], run[0]["range"], [s._asdict() for s in _transitions(run)]) for run in _documents(table)]
+        return pa.Table.from_pylist([dict(zip(("document_id", "range", "behind"), r)) for r in out], pa.schema([id_arrow, ("range", pa.int32()), ("behind", pa.list_(_STATE))]))
+
+    def plans(table: pa.Table) -> pa.Table:
+        s, owner, out = State(), None, []
+        for r in sorted(table.to_pylist(), key=lambda r: r["range"]):
+            out.append({"document_id": r["document_id"], "range": r["range"], "before": s._asdict() | {"start": -1}, "owner": owner})
+            s = State(**r["behind"][CLASSES.index(_class(s))])
+            owner = r["range"] * PLACES + s.start if s.start >= 0 else owner
+        return pa.Table.from_pylist(out, pa.schema([id_arrow, ("range", pa.int32()), ("before", _STATE), ("owner", pa.int64())]))
+
+    kind = f"document_id {id_name}"
+    found = ranged.join(F.broadcast(wide), "document_id").groupBy("range", "document_id").applyInArrow(tables, f"{kind}, range int, behind array<{STATE}>")
+    planned = stored(found.groupBy("document_id").applyInArrow(plans, f"{kind}, range int, before {STATE}, owner long"))
+
+    names = [("range", pa.int32()), ("question", pa.int64()), ("number", pa.string()), ("text", pa.string()), ("start_page", pa.int64()), ("end_page", pa.int64()), ("how", pa.string())]
+    schema = pa.schema([id_arrow, *names])
+
+    def cut(table: pa.Table) -> pa.Table:
+        out = []
+        for run in _documents(table):
+            s = State(**run[0]["before"]) if run[0]["before"] else State()
+            # The part of a question that began before this range comes first.
+            piece = {"question": run[0]["owner"], "number": None, "lines": [], "start_page": None, "end_page": None, "how": None}
+            pieces = [piece]
+            for at, page, line in _lines(run):
+                s, act = step(s, line, at)
+                if act and act[0] == "new":
+                    piece = {"question": run[0]["range"] * PLACES + at, "number": act[1], "lines": [act[2]] if act[2] else [], "start_page": page, "end_page": page, "how": act[3]}
+                    pieces.append(piece)
+                elif act:
+                    piece["lines"].append(act[1])
+                    if act[1]:
+                        piece["end_page"] = page
+            head = {"document_id": run[0]["document_id"], "range": run[0]["range"]}
+            out += [head | {k: v for k, v in p.items() if k != "lines"} | {"text": "\n".join(p["lines"])} for p in pieces if p["lines"] or p["how"]]
+        return pa.Table.from_pylist(out, schema)
+
+    rows = ranged.join(F.broadcast(planned), ["document_id", "range"], "left")
+    pieces = rows.groupBy("range").applyInArrow(cut, ", ".join([kind, "range int, question long, number string, text string, start_page long, end_page long, how string"]))
+    parts = F.array_sort(F.collect_list(F.struct("range", "text")))
+    whole = pieces.groupBy("document_id", "question").agg(
+        F.max("number").alias("number"), F.max("how").alias("how"), F.min("start_page").alias("start_page"), F.max("end_page").alias("end_page"),
+        F.array_join(F.transform(F.filter(parts, lambda p: (p["text"] != "") | (p["range"] != F.floor(F.col("question") / PLACES))), lambda p: p["text"]), "\n").alias("text"))
+    whole = stored(whole.withColumn("text", F.regexp_replace("text", r"^\n+|\n+$", "")).filter("text <> ''").withColumn("range", F.floor(F.col("question") / PLACES)))
+    # Positions: questions of the ranges before, then the place within the range.
+    counts = whole.groupBy("document_id", "range").agg(F.count("*").alias("n"))
+    before = counts.select("document_id", "range", F.coalesce(F.sum("n").over(Window.partitionBy("document_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("document_id", "range").orderBy("question")) - 1
+    numbered = whole.withColumn("place", place).join(before, ["document_id", "range"])
+    return numbered.select("document_id", (F.col("before") + F.col("place")).cast("int").alias("position"), "number", "text", F.col("start_page").cast("int").alias("start_page"), F.col("end_page").cast("int").alias("end_page"), "how")
+
+
+#: A question's number is its range times this, plus the place of its first line there.
+PLACES = 1 << 40
 
 
 def segment_fast(pages: DataFrame) -> DataFrame:
@@ -191,23 +305,35 @@ def describe(questions: DataFrame) -> DataFrame:
     return d.withColumn("confidence", F.least(F.lit(0.97), confidence)).withColumn("notes", notes).drop("lines", "n_options", "why")
 
 
+BUCKET = 4096
+
+
 def merge_weak(questions: DataFrame) -> DataFrame:
-    """X5. Joins a piece under 0.6 with the next one under 0.5 on the same or next page, where it continues; a joined piece isn't joined again."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, out, k = pdf.sort_values("position").to_dict("records"), [], 0
-        while k < len(rows):
-            a, b = rows[k], rows[k + 1] if k + 1 < len(rows) else None
-            if b and b["start_page"] - a["end_page"] in (0, 1) and a["confidence"] < 0.6 and b["confidence"] < 0.5 and continues(a["text"], b["text"]):
-                kind = b["question_type"] if a["question_type"] == "unknown" else a["question_type"]
-                a = a | {"text": f"{a['text']}\n{b['text']}".strip(), "end_page": b["end_page"], "confidence": (a["confidence"] + b["confidence"]) / 2, "question_type": kind, "number": a["number"] or b["number"]}
-                k += 1
-            out.append(a)
-            k += 1
-        return pd.DataFrame(out, columns=pdf.columns)
+    """X5. Joins a piece under 0.6 with the next one under 0.5 on the same or next page, where it continues; a joined piece isn't joined again.
 
+    Pieces meet the next one by their position, in an equi-join. In a run of pieces of which each could join the next, every other one does: a
+    run's start is a running maximum, first within buckets of positions, then over them.
+    """
     cols = ["document_id", "position", "number", "text", "start_page", "end_page", "question_type", "confidence"]
-    return questions.select(*cols).groupBy("document_id").applyInPandas(run, "document_id long, position int, number string, text string, start_page int, end_page int, question_type string, confidence double")
+    rows = questions.select(*cols)
+    follows = F.udf(lambda a, b: continues(text_state(a), b), "boolean", useArrow=True)
+    after = rows.select("document_id", (F.col("position") - 1).alias("position"), *[F.col(c).alias(f"next_{c}") for c in cols[2:]])
+    near = (F.col("confidence") < 0.6) & (F.col("next_confidence") < 0.5) & (F.col("next_start_page") - F.col("end_page")).isin(0, 1)
+    pairs = stored(rows.join(after, ["document_id", "position"]).filter(near).filter(follows("text", "next_text")))
+    links = pairs.select("document_id", "position")
+    # A link begins a run if the position before it has none.
+    earlier = links.select("document_id", (F.col("position") + 1).alias("position"), F.lit(True).alias("goes_on"))
+    links = links.join(earlier, ["document_id", "position"], "left").withColumn("begin", F.when(F.col("goes_on").isNull(), F.col("position"))).withColumn("bucket", F.floor(F.col("position") / BUCKET))
+    inside = Window.partitionBy("document_id", "bucket").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.partitionBy("document_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = links.groupBy("document_id", "bucket").agg(F.max("begin").alias("m")).select("document_id", "bucket", F.max("m").over(over).alias("carried"))
+    starts = links.withColumn("own", F.max("begin").over(inside)).join(buckets, ["document_id", "bucket"])
+    joined = starts.filter((F.col("position") - F.coalesce("own", "carried")) % 2 == 0).select("document_id", "position")
+    first = pairs.join(joined, ["document_id", "position"]).select(
+        "document_id", "position", F.coalesce(F.nullif("number", F.lit("")), "next_number").alias("number"), F.trim(F.concat("text", F.lit("\n"), "next_text")).alias("text"), "start_page", F.col("next_end_page").alias("end_page"),
+        F.when(F.col("question_type") == "unknown", F.col("next_question_type")).otherwise(F.col("question_type")).alias("question_type"), ((F.col("confidence") + F.col("next_confidence")) / 2).alias("confidence"))
+    taken = joined.unionByName(joined.withColumn("position", F.col("position") + 1))
+    return first.unionByName(rows.join(taken, ["document_id", "position"], "left_anti").select(*first.columns))
 
 
 def blocks(text: str) -> list[str]:

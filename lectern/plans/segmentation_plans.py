@@ -9,7 +9,52 @@ from lectern.operators import segmentation as s
 from .base import query
 
 
-@query("X3_segment_exact")
+def _any(column: str, words) -> str:
+    return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+#: The lines of all documents, step by step: the state of each document is carried from line to line.
+EXACT = f"""with recursive l as (
+    select document_id, page_number, trim(line) as line, row_number() over (partition by document_id order by page_number, text, n) as i
+    from (select document_id, page_number, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from pages_view)),
+  f as (
+    select *, strlen(line) as z, regexp_matches(line, '{s.HEADER}') as header, regexp_matches(line, '{s.START}') as begins, regexp_matches(line, '{s.STRICT}') as strict,
+      regexp_matches(line, '{s.OPTION}') or regexp_matches(line, '{s.PART}') as part, regexp_extract(line, '{s.START}', 1) as number, trim(regexp_extract(line, '{s.START}', 2)) as rest,
+      left(line, 1) between 'a' and 'z' as small,
+      {_any("line", s.TITLE_MARKS)} or (strlen(line) < 25 and not {_any("line", "?.")} and length(line) - length(replace(line, ' ', '')) <= 3)
+        or (strlen(line) < 80 and not contains(line, '?') and contains(lower(line), 'operating system') and not {_any("lower(line)", ("what", "define", "explain"))} and {_any("line", ("–", "-", "202"))})
+        or (strlen(line) between 6 and 49 and line = upper(line)) as title,
+      contains(line, '?') or {_any("lower(line)", s.QUESTION_WORDS)} or (strlen(line) > 60 and contains(line, ' ')) as asks
+    from l),
+  run as (
+    select distinct document_id, 0::bigint as i, 'none' as kind, false as numbered, false as ended, 0::bigint as size, 0::bigint as blanks, 0::bigint as q, '' as act, '' as body from l
+    union all
+    select document_id, i,
+      case act when 'new' then case when rest = '' then 'bare' else 'open' end when 'after' then 'open' when 'first' then 'open' when 'shut' then case when numbered then 'shut' else 'none' end when 'add' then case kind when 'bare' then 'open' else kind end else kind end,
+      act in ('new', 'after') or (act <> 'first' and numbered),
+      case when act in ('new', 'after', 'first', 'add') then right(body, 1) in ('.', '?', '!', ':') else ended end,
+      case when act in ('new', 'after', 'first') or (act = 'add' and kind = 'bare') then strlen(body) when act = 'add' then size + blanks + 1 + strlen(body) else size end,
+      case when act = 'blank' then blanks + 1 when act in ('new', 'after', 'first', 'add') then 0 else blanks end,
+      case when act in ('new', 'after', 'first') then i else q end, act, body
+    from (select *, case when act = 'new' then rest else line end as body from (select f.*, r.kind, r.numbered, r.ended, r.size, r.blanks, r.q,
+        r.size > 0 and not r.ended and (part or (r.size > 50 and small) or (begins and not strict and r.size > 80)) as goes_on,
+        case when z = 0 then case when kind = 'open' then 'blank' else '' end
+             when header then case when kind <> 'open' then '' when z < 40 then 'add' else 'shut' end
+             when begins and length(number) = 4 and number like '20%' and rest = '' then case when kind = 'open' then 'add' else '' end
+             when begins then case when kind = 'open' and goes_on then 'add' else 'new' end
+             when kind in ('open', 'bare') then 'add'
+             when kind = 'shut' then case when goes_on then 'add' else 'after' end
+             when z > 15 and not title and asks then 'first' else '' end as act
+      from run r join f on f.document_id = r.document_id and f.i = r.i + 1))),
+  whole as (
+    select r.document_id, q, trim(string_agg(body, chr(10) order by r.i) filter (where act <> 'new' or body <> ''), chr(10)) as text, min(page_number) filter (where act <> 'blank') as start_page, max(page_number) filter (where act <> 'blank') as end_page,
+      max(case when act = 'new' then number end) as number,
+      max(case act when 'new' then case when strict then 'strict' else number end when 'after' then 'unnumbered-after-numbered' when 'first' then 'unnumbered-start' end) as how
+    from run r join f using (document_id, i) where act in ('new', 'after', 'first', 'add', 'blank') group by all)
+select document_id, (row_number() over (partition by document_id order by q) - 1)::int as position, number, text, start_page::int as start_page, end_page::int as end_page, how from whole where text <> ''"""
+
+
+@query("X3_segment_exact", EXACT, "pages_view")
 def _(v):
     return s.segment(v.pages_view)
 

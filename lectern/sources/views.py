@@ -60,4 +60,6 @@ def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL that begins with the named views; ``sql`` may begin with WITH itself."""
     heads = ", ".join(f"{n} as ({VIEWS[n].format(**DUCK).replace('0D', '0::double')})" for n in names)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {heads}, {body[15:]}"
     return f"with {heads}, {body[5:]}" if body.lower().startswith("with ") else f"with {heads} {body}"
