@@ -10,27 +10,43 @@ from pyspark.sql import functions as F
 from lectern.sources.views import SPARK, VIEWS
 from lectern.streaming import streams as t
 
-from .base import folder, query
+from . import review_plans  # noqa: F401
+from .base import ORACLE, folder, query
 
 
-def _arriving(v) -> DataFrame:
-    """The attempts view as a stream over files of events, which were written in time order."""
-    where, events = folder(v), v.table("events")
-    events.withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(3, "ts").write.parquet(where)
+ARRIVALS, FILES = 4, 8
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _arriving(v, days_late: int = 0) -> DataFrame:
+    """The attempts view as a stream over files of events that come in ARRIVALS micro-batches. Each event comes up to so many days after its time, so that batches hold rows older than those before."""
+    where = folder(v)
+    events = v.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    comes = F.unix_micros("ts") / 1e6 + F.pmod(F.xxhash64("event_id"), F.lit(86_400 * days_late + 1))
+    events = events.withColumn("comes", comes)
+    cuts = events.approxQuantile("comes", [k / ARRIVALS for k in range(1, ARRIVALS)], 0.001)
+    number = sum((F.col("comes") > c).cast("int") for c in cuts)
+    for k in range(ARRIVALS):  # one after another, as streams take files by their age
+        events.filter(number == k).drop("comes").repartition(FILES).write.mode("append").parquet(where)
     name = f"events_{uuid.uuid4().hex}"
-    v.spark.readStream.schema(v.spark.read.parquet(where).schema).option("maxFilesPerTrigger", 3).parquet(where).createOrReplaceTempView(name)
+    v.spark.readStream.schema(events.drop("comes").schema).option("maxFilesPerTrigger", FILES).parquet(where).createOrReplaceTempView(name)
     return v.spark.sql(VIEWS["attempts"].format(**SPARK).replace("from events", f"from {name}"))
 
 
 def _run(v, stream: DataFrame, mode: str) -> DataFrame:
     """All rows that a stream puts out until its input ends, with the number of their batch."""
-    where = folder(v)
+    where, key = folder(v), "spark.sql.streaming.stateStore.providerClass"
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(where)
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", folder(v)).trigger(availableNow=True).start()
-    q.awaitTermination()
+    before = v.spark.conf.get(key)
+    v.spark.conf.set(key, ROCKS)
+    try:
+        q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", folder(v)).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        v.spark.conf.set(key, before)
     return v.spark.read.parquet(where)
 
 
@@ -41,27 +57,27 @@ def _latest(df: DataFrame, *keys: str) -> DataFrame:
 
 @query("T1_ingest_pages", "select document_id, page_number, sha256(text) as hash from pages_view group by all", "pages_view")
 def _(v):
-    where, table = folder(v), folder(v)
-    v.pages_view.repartition(2).write.parquet(where)
-    read = lambda: v.spark.readStream.schema(v.pages_view.schema).parquet(where)
-    for _ in range(2):  # a second run over the same files adds nothing
-        t.ingest_pages(read(), table, folder(v)).awaitTermination()
+    where, table, checkpoint = folder(v), folder(v), folder(v)
+    for _ in range(2):  # the second time, the same pages come in new files and add nothing
+        v.pages_view.repartition(4).write.mode("append").parquet(where)
+        t.ingest_pages(v.spark.readStream.schema(v.pages_view.schema).option("maxFilesPerTrigger", 2).parquet(where), table, checkpoint).awaitTermination()
     return v.spark.read.parquet(table).select("document_id", "page_number", "hash")
 
 
 @query("T2_daily_accuracy", "select created_at::date as day, count(*) as attempted, count_if(is_correct) as correct, round(count_if(is_correct) / count(*) * 100, 6) as accuracy from attempts group by all", "attempts")
 def _(v):
-    return _latest(_run(v, t.daily_accuracy(_arriving(v), "40 days"), "update"), "day")
+    return _latest(_run(v, t.daily_accuracy(_arriving(v, 5), "40 days"), "update"), "day")
 
 
 @query("T3_running_mastery", "select user_id, trim(topic) as topic, count(*) as attempted, count_if(is_correct) as correct, round(count_if(is_correct) / count(*) * 100 * (count(*) / (count(*) + 5.0::double)), 6) as mastery from attempts where trim(topic) <> '' group by all", "attempts")
 def _(v):
-    return _latest(_run(v, t.running_mastery(_arriving(v)), "update"), "user_id", "topic").select("user_id", "topic", "attempted", "correct", "mastery")
+    return _latest(_run(v, t.running_mastery(_arriving(v, 5)), "update"), "user_id", "topic").select("user_id", "topic", "attempted", "correct", "mastery")
 
 
-@query("T4_review_schedule")
+@query("T4_review_schedule", ORACLE["W6_review_schedule"])
 def _(v):
-    return _latest(_run(v, t.review_schedule(_arriving(v), "40 days"), "update"), "user_id", "key")
+    rows = _latest(_run(v, t.review_schedule(_arriving(v, 5), "40 days"), "update"), "user_id", "key")
+    return rows.withColumns({c: F.round(c, 4) for c in ("interval_days", "easiness")})
 
 
 @query("T5_throttle")
@@ -71,6 +87,6 @@ def _(v):
 
 @query("T6_without_repeats", "select user_id, session_id from attempts group by all", "attempts")
 def _(v):
-    return _run(v, t.without_repeats(_arriving(v), "user_id", "session_id", late="40 days").select("user_id", "session_id"), "append").select("user_id", "session_id")
+    return _run(v, t.without_repeats(_arriving(v, 5), "user_id", "session_id", late="40 days").select("user_id", "session_id"), "append").select("user_id", "session_id")
 
 

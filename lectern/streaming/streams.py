@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.operators.analytics import percent, topic_breakdown, topic_mastery
@@ -15,19 +16,17 @@ from lectern.operators.review import review_key
 
 
 def ingest_pages(pages: DataFrame, table: str, checkpoint: str):
-    """T1. Appends pages with new (document, page, hash) to a Parquet table; what is there is skipped, repeats within a batch too."""
+    """T1. Appends pages with new (document, page, hash) to a Parquet table; what came before is skipped, in this run or an earlier one of the same checkpoint.
 
-    def add(batch: DataFrame, _: int) -> None:
-        new = batch.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["document_id", "page_number", "hash"])
-        spark = batch.sparkSession
-        try:
-            old = spark.read.schema(new.schema).parquet(table)
-        except AnalysisException:  # no table yet
-            old = new.limit(0)
-        new = new.join(old.select("document_id", "page_number", "hash"), ["document_id", "page_number", "hash"], "left_anti").select(new.columns)
-        new.write.mode("append").parquet(table)
+    What came before is keyed state of the stream, so a batch reads its own rows and their keys, however large the table has become (for
+    very many keys, set the RocksDB state store). Each batch has a folder of its own, which a repeated batch replaces.
+    """
+
+    def add(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={n}")
 
-    return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = pages.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["document_id", "page_number", "hash"])
+    return new.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily_accuracy(attempts: DataFrame, late: str = "1 day") -> DataFrame:
@@ -44,26 +43,81 @@ def running_mastery(attempts: DataFrame) -> DataFrame:
 SCHEDULE = "user_id long, key string, repetitions int, interval_days double, easiness double, last timestamp"
 
 
-def review_schedule(attempts: DataFrame, late: str = "1 day") -> DataFrame:
-    """T4. Review schedule by learner and question: state is (repetitions, interval, easiness, last); a batch's rows are folded in time order.
+class _Schedule(StatefulProcessor):
+    """State of one learner and question, which rows can be added to in any order: the number of misses, the last of them, and the right answers behind it.
 
-    Rows that come in a later batch than newer ones of their key, but within the watermark, are folded as they come.
+    Of these, answers older than the watermark are but a number, as no miss can come before them any more; only younger ones are held one by one. A timer
+    counts them when the watermark has passed them. With ``expiry``, a timer ends the state so long after its last answer.
     """
 
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reps, days, ease, last = state.get if state.exists else (0, 0.0, 2.5, pd.Timestamp(0))
-        rows = pd.concat(list(batches)).sort_values(["created_at", "id"])
-        for right in rows.is_correct:
-            if right:
-                days, reps = (1.0, 6.0)[reps] if reps < 2 else days * ease, reps + 1
+    def __init__(self, expiry: timedelta | None = None):
+        self.expiry = expiry
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "misses long, miss_at long, miss_id long, settled long, last long")
+        self.young = handle.getListState("young", "at long, id long")
+
+    def _set(self, misses: int, miss: tuple, settled: int, last: int, young: list[tuple], passed: int) -> int:
+        """Stores the state, with what the watermark has passed counted, and returns the right answers since the last miss."""
+        young = sorted(t for t in young if t > miss)
+        old = sum(at <= passed for at, _ in young)
+        self.sums.update((misses, *miss, settled + old, last))
+        if len(young) > old:
+            self.young.put(young[old:])
+        else:
+            self.young.clear()
+        return settled + len(young)
+
+    def _state(self) -> tuple[int, tuple, int, int, list[tuple]]:
+        if not self.sums.exists():
+            return 0, (MICROS_LEAST, 0), 0, MICROS_LEAST, []
+        misses, at, i, settled, last = self.sums.get()
+        return misses, (at, i), settled, last, [tuple(t) for t in self.young.get()] if self.young.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        misses, miss, settled, last, young = self._state()
+        for r in rows:
+            at = (r.at, r.id)
+            last = max(last, r.at)
+            if r.is_correct:
+                young.append(at)
             else:
-                days, reps, ease = 1.0, 0, max(1.3, ease - 0.2)
-        last = max(last, rows.created_at.max())
-        state.update((reps, days, ease, last.to_pydatetime()))
-        yield pd.DataFrame({"user_id": [key[0]], "key": [key[1]], "repetitions": [reps], "interval_days": [days], "easiness": [ease], "last": [last]})
-
-    rows = review_key(attempts).select("user_id", "key", "id", "created_at", "is_correct").withWatermark("created_at", late)
-    return rows.groupBy("user_id", "key").applyInPandasWithState(fold, SCHEDULE, "repetitions int, interval_days double, easiness double, last timestamp", "update", GroupStateTimeout.NoTimeout)
+                misses += 1
+                if at > miss:
+                    # Answers already counted are older than the watermark, so than this miss.
+                    miss, settled = at, 0
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        streak = self._set(misses, miss, settled, last, young, passed)
+        self.handle.registerTimer(last // 1000 + 1)
+        if self.expiry:
+            self.handle.registerTimer(last // 1000 + self.expiry // timedelta(milliseconds=1))
+        ease = max(1.3, 2.5 - 0.2 * misses)
+        days = 1.0 if streak <= 1 else 6.0 if streak == 2 else 6 * ease ** (streak - 2)
+        yield Row(user_id=key[0], key=key[1], repetitions=streak, interval_days=days, easiness=ease, last=EPOCH + timedelta(microseconds=last))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        misses, miss, settled, last, young = self._state()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.expiry and now >= last // 1000 + self.expiry // timedelta(milliseconds=1):
+            self.sums.clear()
+            self.young.clear()
+        elif self.sums.exists():
+            self._set(misses, miss, settled, last, young, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+EPOCH, MICROS_LEAST = datetime(1970, 1, 1), -(1 << 62)
+
+
+def review_schedule(attempts: DataFrame, late: str = "1 day", expiry: timedelta | None = None) -> DataFrame:
+    """T4. Review schedule by learner and question, as W6: rows may come in any order within the watermark, in whatever batch. Needs the RocksDB state store. Rows without a time are left out."""
+    rows = review_key(attempts).filter("created_at is not null").withWatermark("created_at", late)
+    rows = rows.select("user_id", "key", "id", "created_at", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "is_correct")
+    return rows.groupBy("user_id", "key").transformWithState(_Schedule(expiry), SCHEDULE, "Update", "EventTime")
 
 
 def throttle(events: DataFrame, key: str, limit: int, seconds: float, late: str = "1 day") -> DataFrame:
