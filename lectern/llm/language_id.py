@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import unused
 
 BUCKETS = 1 << 16
-LANGUAGES, FIT_ROWS = 64, 500
+LANGUAGES, FIT_ROWS, SALTS = 64, 500, 16
 #: Added to every count, so that no trigram is impossible.
 SMOOTHING = 0.05
 PENALTY = 8.0
@@ -93,9 +93,12 @@ def fit(docs: DataFrame, languages: int = LANGUAGES, rows: int = FIT_ROWS) -> Mo
     """text, lang -> the model. Hashes and languages alone are counted and ranked; texts are read for the sample only."""
     known = docs.filter("lang is not null").select("lang", "text", F.xxhash64("lang", "text").alias("key"))
     most = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    # The least hashes of a frequent language are found in SALTS parts of it first.
+    part = F.row_number().over(Window.partitionBy("lang", F.pmod("key", F.lit(SALTS))).orderBy("key"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     different = known.filter(F.col("lang").isin(most)).groupBy("lang", "key").count()
-    keys = different.withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "key")
+    few = different.withColumn("part", part).filter(F.col("part") <= rows)
+    keys = few.withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "key")
     sample = known.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
