@@ -3,7 +3,8 @@
 A rule (action, host, path) fits its host and all subdomains where the url's path starts with the rule's
 path. A canonical key is the host's labels from last to first, each closed by U+0001, then U+0002 and the path;
 then the urls that a rule fits at one host are exactly those with keys, as UTF-8 bytes, from the rule's key up to that
-key plus a byte 255: an interval. Intervals nest or are apart. A url has one key for each suffix of its host.
+key plus a byte 255: an interval. Intervals nest or are apart. A url has one key for each number of labels that some rule's host has, so a
+host of very many labels has no more keys than others.
 
 Keys and intervals are dealt to ranges by sampled keys: each range has the keys and interval ends that lie in it, and gets the
 rules that are open where it begins (nested ones, so as many as rules nest at that place). A range with more than its
@@ -93,11 +94,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", default:
     """id, url -> id, host, path, rule, verdict."""
     spark = pages.sparkSession
     p = pages.select(F.col(id_col).alias("id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    p = stored(p.withColumn("row", F.monotonically_increasing_id()), "url-rows")
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = p.select("row", "path", F.explode(hosts).alias("at")).select("row", key_of(F.col("at"), F.col("path")).cast("binary").alias("key"))
-    total = p.agg(F.sum(F.size(labels))).first()[0] or 0
+    labels = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    p = stored(p.withColumns({"row": F.monotonically_increasing_id(), "labels": labels(F.col("host"))}), "url-rows")
+    # A rule fits a suffix of as many labels as its own host has, so a url needs no other keys, however long its host.
+    depths = sorted(r[0] for r in rules.select(labels(F.col("host"))).distinct().collect())
+    at = F.explode(F.filter(F.array(*[F.lit(n) for n in depths]).cast("array<int>"), lambda n: n <= F.col("labels")))
+    keys = p.select("row", "host", "path", at.alias("n")).select("row", key_of(F.expr("substring_index(host, '.', -n)"), F.col("path")).cast("binary").alias("key"))
+    total = p.agg(F.sum(sum((F.col("labels") >= n).cast("long") for n in depths) if depths else F.lit(0))).first()[0] or 0
     ranges = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_slice)))
     bounds = bounds_of(keys, total, ranges)
     keys = keys.withColumn("range", range_of(F.col("key"), bounds))
