@@ -6,11 +6,11 @@ complete epochs of all its documents. The rest of its target is filled with docu
 exponential keys -ln(u) / quality weight, prefix-summed up to the budget. The weight is any positive column, by default
 one that reads the whole text (``text_weight``); u comes from a hash of doc_id and text.
 
-The order within a source is cut into about sqrt(documents) key ranges, so that a hot source is sorted and
-summed by many tasks: range totals are summed first, then each range adds its own prefix sums.
+The order within a source is cut into ranges of the key's logarithm of width 1 / sqrt(documents), so that a hot source is sorted and
+summed by many tasks, whatever its weights: range totals are summed first, then each range adds its own prefix sums.
 
 Defined results: null text is empty (size 0, taken 0); a null source is a source of its own, last in order;
-repeated rows with one doc_id each count as a document; documents without an id differ by their texts; ties of the key go by
+repeated rows with one doc_id each count as a document, and are counted before they are dealt out; documents without an id differ by their texts; ties of the key go by
 doc_id, then size; a null weight counts as the least one; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -70,17 +70,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, keep: tuple[str, .
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     weight = F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(text_weight(F.col("text")) if weight is None else weight, F.lit(LEAST_WEIGHT)))
     slim = docs.select("doc_id", "source", size.alias("size"), (-F.log(uniform(F.col("doc_id"), F.col("text"))) / weight).alias("key"), *keep)
-    slim = stored(slim, "mix")
-    sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, limit)
+    # Equal rows have one key: they are counted before they are dealt out, and told apart again by their number.
+    slim = stored(slim.groupBy("doc_id", "source", "size", "key", *keep).agg(F.count("*").alias("copies")), "mix")
+    words = F.col("size") * F.col("copies")
+    sources = targets(slim.groupBy("source").agg(F.sum(words).alias("source_size"), F.sum("copies").alias("docs")), weights, limit)
     sources = stored(sources, "mix-sources")
     rows = slim.alias("d").join(F.broadcast(sources.alias("s")) if sources.count() <= 10_000 else sources.alias("s"), F.expr("d.source <=> s.source")).select("d.*", "source_size", "docs", "target")
-    ranges = F.ceil(F.sqrt("docs"))
-    rows = rows.withColumn("range", F.least(ranges - 1, F.floor(ranges * (1 - F.exp(-F.col("key"))))))
-    each = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    # No more than 0.37 / width of the logarithms of exponential keys lie within a width, whatever their weights.
+    rows = rows.withColumn("range", F.floor(F.log("key") * F.sqrt("docs")))
+    each = rows.groupBy("source", "range").agg(F.sum(words).alias("words"))
     offsets = each.select("source", "range", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(inside))
+    rows = rows.withColumn("upto", F.sum(words).over(inside))
     rows = rows.alias("d").join(offsets.alias("o"), F.expr("d.source <=> o.source and d.range = o.range")).select("d.*", "offset")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn("upto", F.col("upto") - F.col("size") * (F.col("copies") - F.col("copy")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rows = rows.withColumn("full", epochs)
     rest = F.col("target") - F.col("full") * F.col("source_size")
