@@ -141,9 +141,18 @@ def diagram_kind(kind: Column, name: Column, description: Column) -> Column:
     return out
 
 
-def image_text(number: Column, kind: Column, description: Column, name: Column) -> Column:
-    """X22. ``Figure n (type): description``; without a description a short hash of the name stands for it."""
-    return F.format_string("Figure %d (%s): %s", number, kind, F.coalesce(F.nullif(F.trim(description), F.lit("")), F.concat(F.lit("image "), F.substring(F.sha2(F.coalesce(name, F.lit("")), 256), 1, 8))))
+def image_description(name: Column, data: Column, given: Column) -> Column:
+    """X22. The description given, else one of name, hash and size of the image's bytes."""
+    n = F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("unnamed"))
+    raw = F.concat(F.concat(n, F.lit(":")).cast("binary"), F.coalesce(data, F.unhex(F.lit(""))))
+    made = F.concat(F.lit("Undescribed image "), n, F.lit(" (content hash "), F.substring(F.sha2(raw, 256), 1, 8), F.lit(", "), F.coalesce(F.octet_length(data), F.lit(0)).cast("string"), F.lit(" bytes; vision unavailable)"))
+    return F.coalesce(F.nullif(F.trim(given), F.lit("")), made)
+
+
+def image_text(name: Column, kind: Column, description: Column) -> Column:
+    """X22. ``Figure name (type): description``, with what there is of type and description; a nameless one is ``unnamed figure``."""
+    given = lambda x: F.nullif(F.trim(x), F.lit(""))
+    return F.concat(F.lit("Figure "), F.coalesce(given(name), F.lit("unnamed figure")), F.coalesce(F.concat(F.lit(" ("), given(F.lower(kind)), F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(": "), given(description)), F.lit("")))
 
 
 def table_rows(text: Column) -> Column:
@@ -165,12 +174,41 @@ def table_summary(rows: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) <= 0, "Empty table.").otherwise(F.concat(head, first, more))
 
 
+#: Fixed patterns: marked formulas in the order of the text, and what a line with an equals sign must have besides.
+MATH_COMMANDS = "frac sqrt sum int lim infty alpha beta gamma delta theta lambda pi sigma omega times div leq geq neq approx partial nabla in notin forall exists"
+MATH = r"\$\$[^$]+?\$\$|\$[^$\n]+?\$|\\\[.+?\\\]|\\\(.+?\\\)|\\begin\{[a-zA-Z*]+\}(?s:.+?)\\end\{[a-zA-Z*]+\}|\\(?:" + MATH_COMMANDS.replace(" ", "|") + r")(?:\{[^{}]*\}){0,2}"
+MATH_HINT = r"[0-9\\^_+\-*/|<>]"
+MATH_LINE_BYTES = 300
+MATH_PAIRS = (r"\$\$", r"\$\$"), (r"\\\[", r"\\\]"), (r"\\\(", r"\\\)"), (r"\$", r"\$")
+
+
+def normal_math(x: Column) -> Column:
+    """X21. A formula without its environment and one pair of marks, blanks single."""
+    blanks = F.lit(" \t\n\r\x0b\x0c")
+    s = F.trim(x, blanks)
+    inner = F.when(F.startswith(s, F.lit("\\begin")), F.nullif(F.trim(F.regexp_extract(s, r"(?s)^\\begin[^}]*\}(.*)\\end", 1), blanks), F.lit("")))
+    s = F.coalesce(inner, s)
+    bare = F.coalesce(*[F.when(s.rlike(f"(?s)^{a}.+{b}$"), F.regexp_extract(s, f"(?s)^{a}(.+){b}$", 1)) for a, b in MATH_PAIRS], s)
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
 def math_expressions(text: Column) -> Column:
-    """X21. What stands between dollar signs or in \\( \\), and lines with an equals sign and a digit or operator; each once by its form without blanks."""
+    """X21. Marked formulas in order, then short lines with an equals sign and a digit or sign; each once by its normal form.
+
+    A line isn't counted again if it holds a formula found before, or lies in one. Only lines that could be equations are compared.
+    """
+    blanks = F.lit(" \t\n\r\x0b\x0c")
     t = F.coalesce(text, F.lit(""))
-    marked = F.concat(F.regexp_extract_all(t, F.lit(r"\$\$?([^$\n]+)\$\$?"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"\\\(([^\n]+?)\\\)"), F.lit(1)))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.contains(x, F.lit("=")) & ~F.contains(x, F.lit("$")) & x.rlike(r"[0-9+*/^-]") & (F.length(x) <= 200))
-    return F.array_distinct(F.transform(F.concat(marked, lines), lambda x: F.regexp_replace(x, r"\s+", "")))
+    as_found = lambda x: F.struct(x.alias("x"), normal_math(x).alias("n"))
+    marked = F.transform(F.regexp_extract_all(t, F.lit(MATH), F.lit(0)), lambda x: as_found(F.trim(x, blanks)))
+    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x, blanks))
+    lines = F.array_distinct(F.filter(lines, lambda x: F.contains(x, F.lit("=")) & x.rlike(MATH_HINT) & (F.octet_length(x) <= MATH_LINE_BYTES)))
+    none = F.array().cast("array<struct<x:string,n:string>>")
+    more = lambda known, x, skip: F.when((x["n"] == "") | F.exists(known, lambda k: k["n"] == x["n"]) | skip, known).otherwise(F.concat(known, F.array(x)))
+    first = F.aggregate(marked, none, lambda known, x: more(known, x, F.lit(False)))
+    inside = lambda known, x: F.exists(known, lambda k: F.contains(k["x"], x["x"]) | F.contains(x["x"], k["x"]))
+    both = F.aggregate(F.transform(lines, as_found), first, lambda known, x: more(known, x, inside(known, x)))
+    return F.transform(both, lambda k: k["x"])
 
 
 def option_list(json: Column) -> Column:
@@ -194,11 +232,6 @@ def image_list(json: Column) -> Column:
     return F.when(F.exists(plain, lambda x: F.ltrim(x).startswith("{")), named).otherwise(bare)
 
 
-def json_in(reply: Column) -> Column:
-    """X31. From the first brace to the last of a model's reply; null where there is none."""
-    return F.nullif(F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)\{.*\}", 0), F.lit(""))
-
-
 def clamp_labels(labels: Column, subject: Column, most: int = 10) -> Column:
     """X33. array<struct<topic, confidence, subject>>: confidence within 0 and 1, blank topics gone, at most ten, subject filled in."""
     kept = F.filter(labels, lambda x: F.trim(F.coalesce(x["topic"], F.lit(""))) != "")

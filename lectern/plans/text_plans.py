@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import replies
 from lectern.functions import text as t
 from lectern.functions import topics as tp
 
@@ -89,14 +90,35 @@ def _(v):
     return v.questions.select("id", t.table_summary(t.table_rows(_text())).alias("summary"))
 
 
-@query("X21_math_expressions")
+#: Texts with formulas put in, in every form.
+FORMULAS = """case id % 6 when 0 then concat('see $x_', id, '$ and $$a+', id, '$$ or $ x_', id, ' $ end ', {nl}, 'y = ', id, ' ', {nl}, 'so $x_', id, '$ = 3') when 1 then concat('\\\\[ b = ', id, ' \\\\] then \\\\(c\\\\) ', {nl}, 'c = 4 and b = ', id) when 2 then concat('\\\\begin{{align*}} p', {nl}, 'q = ', id, '\\\\end{{align*}} \\\\frac{{', id, '}}{{2}} \\\\sqrt{{3}} \\\\alpha', {nl}, 'q = ', id) when 3 then concat('a = b', {nl}, 'a < b = c', {nl}, ' a < b = c ', {nl}) else '' end"""
+RE2_MATH = t.MATH.replace("'", "''")
+NORM = r"""trim(regexp_replace(coalesce({pairs}, s), '\s+', ' ', 'g'))""".replace("{pairs}", ", ".join(f"case when regexp_matches(s, '(?s)^{a}.+{b}$') then regexp_extract(s, '(?s)^{a}(.+){b}$', 1) end" for a, b in t.MATH_PAIRS))
+
+
+@query("X21_math_expressions", f"""with recursive tx as (select id, {FORMULAS.format(nl='chr(10)').replace(chr(92) * 2, chr(92))} || chr(10) || question_text as text from questions),
+  m as (select id, 0 as part, generate_subscripts(x, 1) as k, unnest(x) as e from (select id, regexp_extract_all(text, '{RE2_MATH}') as x from tx)
+    union all select id, 1, k, e from (select id, generate_subscripts(x, 1) as k, trim(unnest(x), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as e from (select id, string_split(text, chr(10)) as x from tx)) where contains(e, '=') and strlen(e) <= {t.MATH_LINE_BYTES} and regexp_matches(e, '{t.MATH_HINT}')),
+  n as (select *, trim(e, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) as x from m),
+  o as (select *, coalesce(case when starts_with(x, '\\begin') then nullif(trim(regexp_extract(x, '(?s)^\\\\begin[^}}]*\\}}(.*)\\\\end', 1), ' ' || chr(10) || chr(9)), '') end, x) as s from n),
+  p as (select id, part, x, {NORM} as norm, row_number() over (partition by id order by part, k) as i from o),
+  walk as (
+    select distinct id, 0::bigint as i, []::struct(x varchar, n varchar)[] as known from tx
+    union all
+    select p.id, p.i, case when norm = '' or len(list_filter(known, lambda y: y.n = norm)) > 0 or (part = 1 and len(list_filter(known, lambda y: contains(y.x, p.x) or contains(p.x, y.x))) > 0) then known else list_append(known, {{'x': p.x, 'n': norm}}) end
+    from walk w join p on p.id = w.id and p.i = w.i + 1)
+select id, array_to_string(list_transform(arg_max(known, i), lambda y: y.x), ';') as expressions from walk group by id""", Q)
 def _(v):
-    return v.questions.select("id", F.array_join(t.math_expressions(_text()), ";").alias("expressions"))
+    text = F.concat(F.expr(FORMULAS.format(nl="char(10)")), F.lit("\n"), F.coalesce(_text(), F.lit("")))
+    return v.questions.select("id", F.array_join(t.math_expressions(text), ";").alias("expressions"))
 
 
-@query("X22_image_text", "select id, 'Figure ' || start_page || ' (graph): ' || case when id % 2 = 0 then subject else 'image ' || substr(sha256(document_id), 1, 8) end as text from questions", Q)
+@query("X22_image_text", """select id, 'Figure ' || case when id % 5 = 0 then 'unnamed figure' else 'f' || id end || case when id % 3 = 0 then '' else ' (graph)' end || case id % 4 when 0 then ': ' || subject when 1 then '' else
+  ': Undescribed image ' || case when id % 5 = 0 then 'unnamed' else 'f' || id end || ' (content hash ' || substr(sha256(case when id % 5 = 0 then 'unnamed' else 'f' || id end || ':' || coalesce(question_text, '')), 1, 8) || ', ' || strlen(coalesce(question_text, '')) || ' bytes; vision unavailable)' end as text from questions""", Q)
 def _(v):
-    return v.questions.select("id", t.image_text(F.col("start_page"), F.lit("graph"), F.when(F.col("id") % 2 == 0, F.col("subject")), F.col("document_id")).alias("text"))
+    name, given = F.when(F.col("id") % 5 != 0, F.concat(F.lit(" f"), "id")), F.when(F.col("id") % 4 == 0, F.col("subject"))
+    described = F.when(F.col("id") % 4 == 1, F.lit(" ")).otherwise(t.image_description(name, _text().cast("binary"), given))
+    return v.questions.select("id", t.image_text(name, F.when(F.col("id") % 3 != 0, " Graph "), described).alias("text"))
 
 
 @query("X23_tokens", "with x as (select id, list_filter(regexp_split_to_array(lower(question_text), '[^a-z0-9]+'), lambda x: x <> '') as w from questions) select id, len(w) as n, sha256(array_to_string(w, ' ')) as words from x", Q)
@@ -147,10 +169,29 @@ def _(v):
     return v.questions.select("id", F.array_join(F.transform(t.image_list(raw), lambda x: F.concat_ws(":", x["name"], x["kind"], F.coalesce(x["description"], F.lit("")))), ",").alias("images"))
 
 
+#: Replies in and out of fences, right ones and all kinds of wrong ones.
+REPLY = """case id % 12 when 0 then concat('```json', {nl}, '{{"subject": "', subject, '", "topics": [{{"topic": "a }} b", "confidence": 0.', id, '}}]}}', {nl}, '``` done') when 1 then concat('Sure: {{"subject": "x", "topics": []}} ok')
+  when 2 then '{{"subject": "x", "topics": [], "more": 1}}' when 3 then 'no json' when 4 then '{{"subject": "x", "topics": []}} {{}}' when 5 then '{{"subject": " ", "topics": []}}' when 6 then '{{"subject": "x"}}'
+  when 7 then '{{"subject": "x", "topics": [{{"topic": "t", "confidence": 1.5}}]}}' when 8 then '{{"subject": "x", "topics": [{{"topic": "t", "why": 1}}]}}' when 9 then '{{"subject": 3, "topics": []}}' when 10 then '{{"subject": "x", "topics": [{{"confidence": 1}}]}}' else concat('```', {nl}, '{{"subject": "x", "topics": [{{"topic": "t"}},', {nl}, '{{"topic": "u", "subject": "v", "confidence": 1}}]}}```') end"""
+
+
+@query("X31_classified_replies", """select id, case id % 12 when 0 then subject when 1 then 'x' when 11 then 'x' end as subject, case id % 12 when 0 then 'a } b:' when 1 then '' when 11 then 't:,u:v' end as topics,
+  case id % 12 when 2 then 'unknown field' when 3 then 'invalid JSON' when 4 then 'trailing data' when 5 then 'subject is required' when 6 then 'topics is required' when 7 then 'confidence out of range' when 8 then 'unknown field' when 9 then 'wrong type' when 10 then 'topic name is required' end as error from questions""", Q)
+def _(v):
+    rows = replies.classified(v.questions.select("id", F.col("subject").alias("own"), F.expr(REPLY.format(nl="char(10)")).alias("reply")))
+    return rows.select("id", "subject", F.array_join(F.transform("topics", lambda x: F.concat_ws(":", x["topic"], x["subject"])), ",").alias("topics"), "error")
+
+
+@query("X31_rejects", """select case id % 12 when 2 then 'unknown field' when 3 then 'invalid JSON' when 4 then 'trailing data' when 5 then 'subject is required' when 6 then 'topics is required' when 7 then 'confidence out of range' when 8 then 'unknown field' when 9 then 'wrong type' when 10 then 'topic name is required' end as error, count(*) as replies from questions where id % 12 between 2 and 10 group by all""", Q)
+def _(v):
+    _, rejects = replies.split_rejects(replies.classified(v.questions.select("id", F.expr(REPLY.format(nl="char(10)")).alias("reply"))))
+    return rejects.groupBy("error").agg(F.count("*").alias("replies"))
+
+
 @query("X31_json_in_reply", "select id, case when id % 4 < 3 then id end as value from questions", Q)
 def _(v):
     raw = F.expr("""case id % 4 when 3 then 'no json' else concat('Sure:\n```json\n{"a": {"n": ', id, '}}\n``` done') end""")
-    return v.questions.select("id", F.get_json_object(t.json_in(raw), "$.a.n").cast("long").alias("value"))
+    return v.questions.select("id", F.get_json_object(replies.json_in(raw), "$.a.n").cast("long").alias("value"))
 
 
 @query("X32_truncate", "select id, case when length(question_text) > 40 then substr(question_text, 1, 40) || '...' else question_text end as text from questions", Q)
