@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import study_tokens, truncate
+from lectern.functions.text import diagram_kind, image_list, math_expressions, normal_math, option_list, study_tokens, truncate
+from lectern.sources.shared import stored
 
 from .analytics import blank_to_null
 from .bank import violations
@@ -106,22 +107,106 @@ def sources_for(requests: DataFrame, questions: DataFrame, excluded: DataFrame |
     return fits.withColumn("place", place).filter("place <= n").select("request_id", "id", "place")
 
 
-def build_quiz(sources: DataFrame) -> DataFrame:
-    """Q3. Sources (quiz_id, position, id, text, options, answer) -> items with four options and an explanation.
+#: Math notes of an explanation, and characters of each.
+MATH_NOTES, MATH_NOTE_LENGTH = 2, 120
 
-    Missing options are filled with placeholders.
-    """
-    given = F.coalesce("options", F.array().cast("array<string>"))
-    padded = F.when(F.size(given) >= 4, F.slice(given, 1, 4)).otherwise(F.concat(given, F.slice(F.array(*[F.lit(f"Option {x}") for x in LETTERS]), F.size(given) + 1, 4 - F.size(given))))
-    return sources.select("quiz_id", "position", F.sha2(F.concat_ws(":", "quiz_id", "id"), 256).alias("item_id"), F.col("id").alias("source_question_id"), truncate(F.trim("text"), 500).alias("question"), padded.alias("options"), F.coalesce("answer", F.lit(0)).alias("correct_answer"), F.concat(F.lit("From question "), "id").alias("explanation"))
+
+def _figures(images: Column) -> Column:
+    """Figures of a question with a name, as array<struct<name, kind, description>>."""
+    return F.filter(F.coalesce(image_list(images), F.array().cast("array<struct<name:string,kind:string,description:string>>")), lambda x: F.trim(F.coalesce(x["name"], F.lit(""))) != "")
+
+
+def figure_hints(images: Column) -> Column:
+    """Q3, X17, X30. ``[Figure: name (kind): description [kind: finer kind]]`` for each image, with what there is of it."""
+
+    def label(x: Column) -> Column:
+        kind, description = F.coalesce(x["kind"], F.lit("")), F.trim(F.coalesce(x["description"], F.lit("")))
+        finer = diagram_kind(kind, x["name"], description)
+        parts = [x["name"], F.when(kind != "", F.concat(F.lit(" ("), kind, F.lit(")"))), F.when(description != "", F.concat(F.lit(": "), description)), F.when(~finer.isin("", "unknown") & (finer != F.lower(F.trim(kind))), F.concat(F.lit(" [kind: "), finer, F.lit("]")))]
+        return F.concat(F.lit("[Figure: "), *[F.coalesce(p, F.lit("")) for p in parts], F.lit("]"))
+
+    return F.array_join(F.transform(_figures(images), label), " ")
 
 
-def prompt_text(requests: DataFrame, items: DataFrame) -> DataFrame:
-    """Q9. One text for each request: its mode and numbered sources in order."""
-    block = F.concat(F.lit("Source "), (F.col("position") + 1).cast("string"), F.lit(": "), F.col("question"))
-    per = items.groupBy(F.col("quiz_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("position", block.alias("block")))).alias("blocks"))
-    joined = requests.join(per, "request_id", "left")
-    return joined.select("request_id", F.concat_ws("\n\n", F.concat(F.lit("Mode: "), "mode"), F.array_join(F.transform("blocks", lambda x: x["block"]), "\n\n")).alias("prompt"))
+def math_notes(text: Column) -> Column:
+    """Q3, X21. The first formulas of a text by their normal forms, joined; empty where there is none."""
+    forms = F.filter(F.transform(math_expressions(text), normal_math), lambda x: x != "")
+    cut = lambda x: F.when(F.length(x) > MATH_NOTE_LENGTH, F.concat(F.substring(x, 1, MATH_NOTE_LENGTH - 3), F.lit("..."))).otherwise(x)
+    return F.array_join(F.transform(F.slice(forms, 1, MATH_NOTES), cut), "; ")
+
+
+def build_quiz(sources: DataFrame) -> DataFrame:
+    """Q3. Sources (quiz_id, position, id, document_id, question_number, text, options_json, images_json) -> the original quiz.
+
+    The question is the whole text with hints at its figures; options are the stored ones if there are four different ones, else four placeholders;
+    the first is right. The explanation names source, figures and formulas. A source without text is left out, and so is one that the quiz has at an earlier position.
+    """
+    text = F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
+    first = sources.groupBy("quiz_id", "id").agg(F.min("position").alias("position"))
+    rows = sources.join(first, ["quiz_id", "id", "position"]).dropDuplicates(["quiz_id", "id"]).withColumn("text", text).filter("text <> ''")
+    hints = figure_hints(F.col("images_json"))
+    stored_options = option_list(F.col("options_json"))
+    options = F.when(F.size(stored_options) == len(LETTERS), stored_options).otherwise(F.array(*[F.lit(f"Option {x}") for x in LETTERS]))
+    names = F.transform(_figures(F.col("images_json")), lambda x: F.concat(x["name"], F.when(F.coalesce(x["kind"], F.lit("")) != "", F.concat(F.lit(" ("), x["kind"], F.lit(")"))).otherwise("")))
+    number, notes = F.trim(F.coalesce("question_number", F.lit(""))), math_notes(F.col("text"))
+    explanation = F.concat(
+        F.lit("Original PYQ "), F.col("id").cast("string"), F.when(number != "", F.concat(F.lit(" (question "), number, F.lit(")"))).otherwise(""), F.lit(" from document "), F.col("document_id").cast("string"), F.lit(" (deterministic fallback; LLM unavailable)."),
+        F.when(F.size(names) > 0, F.concat(F.lit(" Visual reference(s): "), F.array_join(names, ", "), F.lit("."))).otherwise(""),
+        F.when(notes != "", F.concat(F.lit(" Math expression(s): "), notes, F.lit("."))).otherwise(""))
+    return rows.select(
+        "quiz_id", "position", F.concat(F.lit("quiz-"), F.col("id").cast("string")).alias("item_id"), F.col("id").alias("source_question_id"), "document_id",
+        F.concat("text", F.when(hints != "", F.concat(F.lit(" "), hints)).otherwise("")).alias("question"), options.alias("options"), F.lit(0).alias("correct_answer"), explanation.alias("explanation"))
+
+
+#: What a prompt asks for in each mode.
+MODES = {
+    "original": "Ask each source in its own words.",
+    "mcq": "Turn each source into a question with four options, one of them right.",
+    "similar": "Ask something new about what each source is about.",
+    "mixed": "Mix sources in their own words, turned into options, and new questions.",
+}
+
+
+def constraints(requests: DataFrame) -> Column:
+    """Q9. A line for each wish of a request that is there: n, difficulty, topics (array), subject, question_type, year_min, year_max, query."""
+    has = set(requests.columns)
+    said = lambda name, label: [F.when(F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) != "", F.concat(F.lit(f"- {label}: "), F.trim(F.col(name).cast("string"))))] if name in has else []
+    years = [F.when(F.coalesce("year_min", "year_max").isNotNull(), F.concat(F.lit("- years: "), F.coalesce(F.col("year_min").cast("string"), F.lit("")), F.lit(" to "), F.coalesce(F.col("year_max").cast("string"), F.lit(""))))] if {"year_min", "year_max"} <= has else []
+    topics = [F.when(F.size("topics") > 0, F.concat(F.lit("- topics: "), F.array_join(F.array_sort("topics"), ", ")))] if "topics" in has else []
+    return F.concat_ws("\n", *said("n", "questions"), *said("difficulty", "difficulty"), *topics, *said("subject", "subject"), *said("question_type", "type"), *years, *said("query", "about"))
+
+
+def source_block(sources: DataFrame) -> Column:
+    """Q9. The fields of a source that aren't blank, a line each, its text and its figures."""
+    has = set(sources.columns)
+    fields = ["id", "document_id", "question_number", "subject", "topics", "difficulty", "question_type", "text"]
+    lines = [F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "", F.concat(F.lit(f"{c}: "), F.trim(F.col(c).cast("string")))) for c in fields if c in has]
+    figures = [F.nullif(figure_hints(F.col("images_json")), F.lit(""))] if "images_json" in has else []
+    return F.concat_ws("\n", *lines, *figures)
+
+
+def prompts(requests: DataFrame, sources: DataFrame, budget: int = 20_000) -> DataFrame:
+    """Q9. requests (request_id, mode and wishes), sources (request_id, position, fields) -> request_id, prompt_no, sources, prompt.
+
+    A request with more than a prompt holds gets several, numbered from 0: a source belongs to the prompt in which it begins, counting the
+    characters of the sources before it. These sums are taken within ranges of sources first and then over the ranges of a request, so that neither a task nor a row holds a request.
+    A prompt has no more than ``budget`` characters of sources, but for its last one. A request without sources gets no prompt.
+    """
+    block = source_block(sources)
+    rows = sources.select("request_id", "position", block.alias("block")).repartitionByRange("request_id", "position").withColumn("range", F.spark_partition_id())
+    rows = stored(rows.withColumn("size", F.length("block").cast("long")))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("request_id", "range").agg(F.sum("size").alias("total"))
+    offsets = totals.select("request_id", "range", F.coalesce(F.sum("total").over(before("request_id").orderBy("range")), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("size").over(before("request_id", "range").orderBy("position")), F.lit(0))
+    placed = rows.withColumn("inside", inside).join(offsets, ["request_id", "range"]).withColumn("prompt_no", F.floor((F.col("offset") + F.col("inside")) / budget))
+    each = placed.groupBy("request_id", "prompt_no").agg(F.count("*").alias("sources"), F.array_sort(F.collect_list(F.struct("position", "block"))).alias("blocks"))
+    table = F.create_map(*[F.lit(x) for pair in MODES.items() for x in pair])
+    mode = F.lower(F.trim("mode"))
+    head = F.concat_ws("\n", F.concat(F.lit("Mode: "), mode), F.element_at(table, mode), F.nullif(constraints(requests), F.lit("")))
+    heads = requests.filter(mode.isin(*MODES)).select("request_id", head.alias("head"))
+    numbered = F.transform("blocks", lambda x, i: F.concat(F.lit("[Source "), (i + 1).cast("string"), F.lit("]\n"), x["block"]))
+    return each.join(heads, "request_id").select("request_id", "prompt_no", "sources", F.concat_ws("\n\n", "head", F.array_join(numbered, "\n\n")).alias("prompt"))
 
 
 def key_points(questions: DataFrame, top: int = 5) -> DataFrame:

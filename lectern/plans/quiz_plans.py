@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import text
 from lectern.operators import analytics as a
 from lectern.operators import embedding as e
 from lectern.operators import quiz as z
@@ -92,20 +93,45 @@ def _(v):
 SOURCES = "case id % 3 when 0 then 'a,b,c,d,e' when 1 then 'a,b' else '' end"
 
 
-def _quiz(v):
-    s = v.questions.select(F.col("subject").alias("quiz_id"), F.col("id").alias("position"), "id", F.col("question_text").alias("text"), F.expr("case id % 3 when 0 then array('a', 'b', 'c', 'd', 'e') when 1 then array('a', 'b') end").alias("options"), F.expr("case when id % 2 = 0 then 1 end").alias("answer"))
-    return z.build_quiz(s)
+#: Sources with four options, fewer or none, figures by name or as objects, formulas, blank texts, and some a second time.
+QUIZ = {
+    "text": "case when id % 10 = 9 then ' ' else concat(case when id % 5 = 0 then concat('Find $x+', id, '$, $ x+', id, ' $ and $y$ or $z$. ') else '' end, question_text) end",
+    "options": """case id % 3 when 0 then '["a","b","a"," c ","d","e"]' when 1 then '["a","b"]' end""",
+    "images": """case id % 4 when 0 then concat('["i', id, '"]') when 1 then concat('[{"file":"f', id, '","type":"Plots","caption":"Flowchart of ', subject, '"}]') end""",
+    "number": "case when id % 2 = 0 then concat('N', id) end",
+}
 
 
-@query("Q3_build_quiz", """select subject as quiz_id, id as position, sha256(subject || ':' || id) as item_id, case when length(trim(question_text)) > 500 then substr(trim(question_text), 1, 500) || '...' else trim(question_text) end as question,
-  case id % 3 when 0 then 'a,b,c,d' when 1 then 'a,b,Option C,Option D' else 'Option A,Option B,Option C,Option D' end as options, case when id % 2 = 0 then 1 else 0 end as correct_answer, 'From question ' || id as explanation from questions""", "questions")
+def _sources(v):
+    q = v.questions.select(F.col("subject").alias("quiz_id"), F.col("id").alias("position"), "id", "document_id", "subject", "difficulty", *[F.expr(QUIZ[k]).alias(c) for k, c in (("text", "text"), ("options", "options_json"), ("images", "images_json"), ("number", "question_number"))])
+    return q.unionByName(q.filter("id % 7 = 0").withColumn("position", F.col("position") + 1_000_000))
+
+
+HINTS = "case id % 4 when 0 then ' [Figure: i' || id || ']' when 1 then ' [Figure: f' || id || ' (graph): Flowchart of ' || subject || ' [kind: flowchart]]' else '' end"
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("Q3_build_quiz", f"""with s as (select *, trim({QUIZ['text']}, {BLANK}) as text from questions)
+select subject as quiz_id, id as position, 'quiz-' || id as item_id, document_id, text || {HINTS} as question, case when id % 3 = 0 then 'a,b,c,d' else 'Option A,Option B,Option C,Option D' end as options, 0 as correct_answer,
+  'Original PYQ ' || id || case when id % 2 = 0 then ' (question N' || id || ')' else '' end || ' from document ' || document_id || ' (deterministic fallback; LLM unavailable).'
+  || case id % 4 when 0 then ' Visual reference(s): i' || id || '.' when 1 then ' Visual reference(s): f' || id || ' (graph).' else '' end || case when id % 5 = 0 then ' Math expression(s): x+' || id || '; y.' else '' end as explanation
+from s where text <> ''""", "questions")
 def _(v):
-    return _quiz(v).withColumn("options", F.array_join("options", ",")).drop("source_question_id")
+    # Formulas that the texts have of their own stay out of the comparison: X21 has a query for itself.
+    own = F.when(F.col("source_question_id") % 5 != 0, F.regexp_replace("explanation", r" Math expression\(s\): (?s:.*)$", "")).otherwise(F.col("explanation"))
+    return z.build_quiz(_sources(v)).withColumn("options", F.array_join("options", ",")).withColumn("explanation", own).drop("source_question_id")
 
 
-@query("Q9_prompt_text", """select subject as request_id, 'Mode: original' || chr(10) || chr(10) || string_agg('Source ' || (id + 1) || ': ' || case when length(trim(question_text)) > 500 then substr(trim(question_text), 1, 500) || '...' else trim(question_text) end, chr(10) || chr(10) order by id) as prompt from questions group by all""", "questions")
+@query("Q9_prompts", f"""with b as (select subject as request_id, id, 'id: ' || id || chr(10) || 'document_id: ' || document_id || chr(10) || 'subject: ' || subject || coalesce(chr(10) || 'difficulty: ' || difficulty, '')
+    || chr(10) || 'text: ' || case when length(question_text) > 500 then substr(question_text, 1, 500) || '...' else question_text end as block from (select * replace (trim(question_text) as question_text) from questions)),
+  o as (select *, (coalesce(sum(length(block)) over (partition by request_id order by id rows between unbounded preceding and 1 preceding), 0) // 20000)::bigint as prompt_no from b),
+  n as (select *, row_number() over (partition by request_id, prompt_no order by id) as k from o)
+select request_id, prompt_no, count(*) as sources, 'Mode: mcq' || chr(10) || '{z.MODES['mcq']}' || chr(10) || '- questions: 5' || chr(10) || '- topics: a, b' || chr(10) || '- subject: ' || request_id || chr(10) || '- years: 2016 to '
+  || chr(10) || chr(10) || string_agg('[Source ' || k || ']' || chr(10) || block, chr(10) || chr(10) order by id) as prompt from n group by request_id, prompt_no""", "questions")
 def _(v):
-    return z.prompt_text(v.questions.select(F.col("subject").alias("request_id"), F.lit("original").alias("mode")).distinct(), _quiz(v))
+    sources = v.questions.select(F.col("subject").alias("request_id"), F.col("id").alias("position"), "id", "document_id", "subject", "difficulty", text.truncate(F.trim("question_text"), 500).alias("text"))
+    wishes = v.questions.select(F.col("subject").alias("request_id"), "subject").distinct().selectExpr("*", "' MCQ' as mode", "5 as n", "array('b', 'a') as topics", "' ' as difficulty", "2016 as year_min", "cast(null as int) as year_max")
+    return z.prompts(wishes, sources)
 
 
 def _by_topic(v):
