@@ -161,11 +161,11 @@ def _(v):
     return b.exclude(v.questions, v.vectors.filter("label < 3").select(F.col("question_id").alias("id"))).select("id")
 
 
-@query("J11_nearest_above", """with i as (select o_orderkey as image_id, o_custkey % 50 as document_id, o_orderkey % 4 as page_number, o_orderkey % 700 as y from orders where o_orderkey % 10 < 3),
+@query("J11_nearest_above", """with i as (select o_orderkey as image_id, o_custkey % 50 as document_id, o_orderkey % 4 as page_number, o_orderkey % 700 as y from orders),
   q as (select id, id % 50 as document_id, start_page % 4 as page_number, id * 37 % 700 as y from questions)
 select image_id, (select arg_min(q.id, struct_pack(d := q.y - i.y, q := q.id)) from q where q.document_id = i.document_id and q.page_number = i.page_number and q.y >= i.y) as question_id from i""", "questions")
 def _(v):
-    i = v.table("orders").filter("o_orderkey % 10 < 3").selectExpr("o_orderkey as image_id", "o_custkey % 50 as document_id", "o_orderkey % 4 as page_number", "o_orderkey % 700 as y")
+    i = v.table("orders").selectExpr("o_orderkey as image_id", "o_custkey % 50 as document_id", "o_orderkey % 4 as page_number", "o_orderkey % 700 as y")
     return b.nearest_above(i, v.questions.selectExpr("id", "id % 50 as document_id", "start_page % 4 as page_number", "id * 37 % 700 as y"))
 
 
