@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from lectern.functions.text import diagram_kind, figure_type
 from lectern.sources.shared import stored
 
 from .bank import nearest_above
@@ -381,11 +382,64 @@ def offsets(questions: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("start_offset", F.when(start >= 0, start)).withColumn("end_offset", F.when((last != "") & (back > 0), F.length("last_text") - back + 1)).drop("first_text", "last_text")
 
 
-def image_questions(questions: DataFrame, images: DataFrame) -> DataFrame:
-    """X13, J11. Images (document_id, page_number, name, y) -> the question above each one: by height 700, 540, 380, ... on the page in order, else the page's first."""
-    order = Window.partitionBy("document_id", "start_page").orderBy("position")
-    placed = questions.select("document_id", F.col("start_page").alias("page_number"), F.col("position").alias("id"), (700 - 160 * (F.row_number().over(order) - 1)).alias("y"))
-    keyed = images.withColumn("image_id", F.struct("document_id", "page_number", "name"))
+#: Heights on a page from the bottom, for questions in order, for one that goes on from an earlier page, and for lines; how the two estimates are weighed.
+TOP, APART, GOES_ON, FIRST_LINE, LINE, BY_ORDER, ANCHOR = 700.0, 160.0, 400.0, 720.0, 14.0, 0.7, 40
+#: Finer kinds that make a note.
+NOTED_KINDS = ["chart", "circuit", "flowchart", "geometry", "graph", "network", "table", "timeline"]
+
+
+def line_height(question: Column, number: Column, page: Column) -> Column:
+    """X13. Where on its page a question's first line stands, by lines: the first that holds its beginning or lies in it, else the first with its number; null where none does."""
+    lines = F.split(page, "\n")
+    anchor = F.substring(F.get(F.filter(F.transform(F.split(question, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)), 1, ANCHOR)
+    place = lambda test: F.nullif(F.array_position(F.transform(lines, test), True), F.lit(0).cast("long"))
+    at = F.coalesce(place(lambda x: F.contains(x, anchor) | F.contains(anchor, F.trim(x))), F.when(F.coalesce(number, F.lit("")) != "", place(lambda x: F.contains(x, number))))
+    return F.when(page != "", FIRST_LINE - LINE * (at - 1))
+
+
+def image_questions(questions: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
+    """X13, J11. Images (document_id, page_number, name, x, y) -> the question of each one: document_id, page_number, name, x, y, position, note.
+
+    Of the questions on an image's page, the one whose height is the least at or above the image's, else the topmost. A question's height is 0.7 of
+    its order on the page and 0.3 of its first line's; one that goes on from an earlier page lies in the middle. An image at the origin has no place and goes to the page's first question, and one on a page with one
+    question to that. Images on pages without a question are left out.
+    """
+    paged = images.select("document_id", "page_number").distinct()
+    spread = questions.withColumn("page_number", F.explode(F.sequence("start_page", F.greatest("start_page", "end_page")))).join(paged, ["document_id", "page_number"], "left_semi")
+    begins = F.col("start_page") == F.col("page_number")
+    order = F.row_number().over(Window.partitionBy("document_id", "page_number", begins).orderBy("position")) - 1
+    texts = pages.groupBy("document_id", "page_number").agg(F.max(F.coalesce("text", F.lit(""))).alias("page_text"))
+    placed = spread.withColumn("order", order).join(texts, ["document_id", "page_number"], "left")
+    by_line = line_height(F.col("text"), F.col("number"), F.col("page_text"))
+    by_order = TOP - APART * F.col("order")
+    placed = placed.select("document_id", "page_number", F.col("position").alias("id"), F.when(~begins, GOES_ON).otherwise(F.coalesce(BY_ORDER * by_order + (1 - BY_ORDER) * by_line, by_order)).alias("y"))
+    placed = stored(placed)
+    on_page = placed.groupBy("document_id", "page_number").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max(F.struct("y", (-F.col("id")).alias("id")))["id"].alias("top"))
+    keyed = images.withColumn("image_id", F.struct("document_id", "page_number", "name", "x", "y"))
     above = nearest_above(keyed, placed).select("image_id.*", F.col("question_id").alias("above"))
-    first = placed.groupBy("document_id", "page_number").agg(F.min("id").alias("first"))
-    return above.join(first, ["document_id", "page_number"]).select("document_id", "page_number", "name", F.coalesce("above", "first").alias("position"))
+    nowhere = (F.col("x") == 0) & (F.col("y") == 0)
+    position = F.when((F.col("n") == 1) | nowhere, F.col("first")).otherwise(F.coalesce("above", -F.col("top")))
+    note = F.when((F.col("n") > 1) & ~nowhere, F.concat(F.lit("image-associated:"), "name", F.lit("@page"), F.col("page_number").cast("string"), F.lit(":y"), F.format_string("%.0f", F.col("y").cast("double"))))
+    return above.join(on_page, ["document_id", "page_number"]).select("document_id", "page_number", "name", "x", "y", position.cast("int").alias("position"), note.alias("note"))
+
+
+def image_details(found: DataFrame, images: DataFrame) -> DataFrame:
+    """X13. The images of each question and its visual notes: document_id, position, images (array of name, figure_type, description), notes.
+
+    found is what image_questions gives. Of images with one name in a document the first described one counts, by page, else the first. Notes say how images were placed, that
+    there are any, their types and finer kinds, and which of them are described.
+    """
+    described = F.trim(F.coalesce("description", F.lit(""))) != ""
+    best = F.min_by(F.struct("figure_type", F.trim(F.coalesce("description", F.lit(""))).alias("description")), F.struct((~described).alias("bare"), "page_number", "y", "x"))
+    named = images.groupBy("document_id", "name").agg(best.alias("d"))
+    each = found.groupBy("document_id", "position", "name").agg(F.min("page_number").alias("page_number"), F.array_sort(F.collect_list("note")).alias("notes")).join(named, ["document_id", "name"], "left")
+    item = F.struct("page_number", "name", F.coalesce("d.figure_type", F.lit("")).alias("figure_type"), F.coalesce("d.description", F.lit("")).alias("description"), "notes")
+    rows = each.groupBy("document_id", "position").agg(F.array_sort(F.collect_list(item)).alias("list"))
+    kinds = lambda of: F.array_sort(F.array_distinct(F.transform("list", of)))
+    types = F.filter(kinds(lambda x: figure_type(x["figure_type"])), lambda x: ~x.isin("", "unknown"))
+    finer = F.filter(kinds(lambda x: diagram_kind(x["figure_type"], x["name"], x["description"])), lambda x: x.isin(NOTED_KINDS))
+    noted = lambda prefix, names: F.transform(names, lambda x: F.concat(F.lit(prefix), x))
+    seen = F.transform("list", lambda x: F.concat(F.when(x["description"] != "", "visual:described:").otherwise("visual:undescribed:"), x["name"]))
+    status = F.array(F.when(F.exists("list", lambda x: x["description"] != ""), "vision:described").otherwise("vision:unavailable"))
+    notes = F.concat(F.flatten(F.transform("list", lambda x: x["notes"])), F.array(F.lit("visual:has_image")), noted("visual:figure-", types), noted("visual:diagram-", finer), seen, status)
+    return rows.select("document_id", "position", F.transform("list", lambda x: F.struct(x["name"].alias("name"), x["figure_type"].alias("figure_type"), x["description"].alias("description"))).alias("images"), F.array_distinct(notes).alias("notes"))

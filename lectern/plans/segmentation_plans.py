@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import segmentation as s
+from lectern.sources.shared import stored
 
 from .base import query
 
@@ -87,7 +88,20 @@ def _(v):
     return s.offsets(s.segment(v.pages_view), v.pages_view).select("document_id", "position", "start_offset", "end_offset")
 
 
+def _images(v):
+    pages = v.pages_view.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    height = F.when(F.col("page_number") % 5 == 4, 0).otherwise((F.col("page_number") * 37 + F.col("document_id") * 11 + F.col("k") * 210) % 700).cast("double")
+    return pages.select(
+        "document_id", "page_number", F.concat(F.lit("i"), F.col("page_number") % 3, F.lit("-"), "k").alias("name"), F.when(height == 0, 0.0).otherwise(50.0).alias("x"), height.alias("y"),
+        F.when(F.col("k") == 0, "Plots").otherwise(" ").alias("figure_type"), F.when(F.col("page_number") % 2 == 0, F.concat(F.lit(" Flowchart of "), "role")).alias("description"))
+
+
 @query("X13_image_questions")
 def _(v):
-    images = v.pages_view.select("document_id", "page_number", F.concat(F.lit("i"), "page_number").alias("name"), (F.col("page_number") * 37 % 700).alias("y"))
-    return s.image_questions(s.segment(v.pages_view), images)
+    return s.image_questions(stored(s.segment(v.pages_view)), _images(v), v.pages_view)
+
+
+@query("X13_image_details")
+def _(v):
+    found = s.image_details(s.image_questions(stored(s.segment(v.pages_view)), _images(v), v.pages_view), _images(v))
+    return found.select("document_id", "position", F.array_join(F.transform("images", lambda x: x["name"]), ",").alias("images"), F.array_join("notes", ",").alias("notes"))

@@ -150,3 +150,59 @@ def test_pairs_of_weak_pieces(spark):
 
 
 COLUMN_NAMES = ["document_id", "position", "number", "text", "start_page", "end_page", "question_type", "confidence"]
+
+
+def placed_by_hand(questions, images, pages):
+    """Every image tried against every question of its page: (document, page, name, x, y, position, note)."""
+    out = []
+    for d, page, name, x, y in images:
+        on = sorted((q for q in questions if q[0] == d and q[4] <= page <= max(q[4], q[5])), key=lambda q: q[1])
+        if not on:
+            continue
+        height, lines = {}, pages.get((d, page), "").split("\n")
+        for k, q in enumerate([q for q in on if q[4] == page]):
+            height[q[1]] = 700.0 - 160 * k
+            anchor = next((w.strip() for w in q[3].split("\n") if w.strip()), None)
+            at = None
+            if pages.get((d, page)) and anchor:
+                at = next((i for i, w in enumerate(lines) if anchor[:40] in w or w.strip() in anchor[:40]), None)
+                if at is None and q[2]:
+                    at = next((i for i, w in enumerate(lines) if q[2] in w), None)
+            if at is not None:
+                height[q[1]] = 0.7 * height[q[1]] + 0.3 * (720.0 - 14 * at)
+        height |= {q[1]: 400.0 for q in on if q[4] < page}
+        note = f"image-associated:{name}@page{page}:y{y:.0f}"
+        if len(on) == 1 or (x == 0 and y == 0):
+            out.append((d, page, name, x, y, on[0][1], note if len(on) > 1 and (x or y) else None))
+            continue
+        above = [(h - y, p) for p, h in height.items() if h >= y]
+        out.append((d, page, name, x, y, min(above)[1] if above else max(height.items(), key=lambda t: (t[1], -t[0]))[0], note))
+    return out
+
+
+def test_images_against_every_question(spark):
+    r = random.Random(4)
+    questions, images, texts = [], [], {}
+    for d in range(25):
+        page = 1
+        for k in range(r.randrange(1, 9)):
+            page += r.choice([0, 0, 1])
+            first = r.choice(["What is paging?", "Explain the way in which deadlocks come about in detail", "x"])
+            questions.append((d, k, r.choice([None, "4", "7"]), f"{first} {k}\nmore", page, page + r.choice([0, 0, 0, 1, 3])))
+        for p in range(1, page + 5):
+            texts[d, p] = "\n".join(r.choice(["7. or so", "", "What is paging? 1", "other", "Explain the way in which deadlocks come about in detail 2"]) for _ in range(r.randrange(5)))
+            images += [(d, p, f"i{k}", *r.choice([(0.0, 0.0), (5.0, float(r.randrange(800))), (0.0, 700.0), (3.0, 540.0)])) for k in range(r.randrange(3))]
+    q = spark.createDataFrame(questions, "document_id long, position int, number string, text string, start_page int, end_page int")
+    i = spark.createDataFrame(images, "document_id long, page_number int, name string, x double, y double")
+    p = spark.createDataFrame([(*k, t) for k, t in texts.items()], PAGES.replace("page_number long", "page_number int"))
+    got = [tuple(x) for x in s.image_questions(q, i, p).collect()]
+    assert sorted(got, key=repr) == sorted(placed_by_hand(questions, images, texts), key=repr) and len(got) > 50
+
+
+def test_notes_of_images(spark):
+    found = spark.createDataFrame([(1, 1, "b", 0.0, 1.0, 0, "image-associated:b@page1:y1"), (1, 2, "a", 0.0, 1.0, 0, None), (1, 2, "b", 0.0, 1.0, 0, None), (1, 3, "c", 0.0, 1.0, 1, None)], "document_id long, page_number int, name string, x double, y double, position int, note string")
+    images = spark.createDataFrame([(1, 1, "b", 0.0, 1.0, "Plots", " "), (1, 2, "b", 0.0, 1.0, "Diagrams", "Circuit with a resistor"), (1, 2, "a", 0.0, 1.0, "photo", None)], "document_id long, page_number int, name string, x double, y double, figure_type string, description string")
+    rows = {r.position: (r.images, r.notes) for r in s.image_details(found, images).collect()}
+    assert [tuple(x) for x in rows[0][0]] == [("b", "Diagrams", "Circuit with a resistor"), ("a", "photo", "")]
+    assert rows[0][1] == ["image-associated:b@page1:y1", "visual:has_image", "visual:figure-diagram", "visual:figure-photo", "visual:diagram-circuit", "visual:described:b", "visual:undescribed:a", "vision:described"]
+    assert rows[1] == ([("c", "", "")], ["visual:has_image", "visual:undescribed:c", "vision:unavailable"])
