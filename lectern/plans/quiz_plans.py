@@ -34,7 +34,13 @@ def _(v):
     return z.check_items(_items(v)).select("quiz_id", "position", F.array_join("violations", ",").alias("broken"))
 
 
-@query("W4_first_items")
+@query("W4_first_items", f"""with recursive {ITEM_CTE}, e as (select quiz_id, position, nullif(trim(source_question_id), '') as source, text, row_number() over (partition by quiz_id order by position) as i from nt),
+  w as (
+    select distinct quiz_id, 0::bigint as i, 0::bigint as position, []::varchar[] as sources, []::varchar[] as texts, false as kept from e
+    union all
+    select quiz_id, i, position, case when ok and source is not null then list_append(sources, source) else sources end, case when ok and text <> '' then list_append(texts, text) else texts end, ok
+    from (select e.*, w.sources, w.texts, not coalesce(list_contains(w.sources, e.source), false) and not list_contains(w.texts, e.text) as ok from w join e on e.quiz_id = w.quiz_id and e.i = w.i + 1))
+select quiz_id, position from w where kept""", "attempts")
 def _(v):
     return z.first_items(_items(v))
 

@@ -70,6 +70,12 @@ def _(v):
     return r.stuck_jobs(v.jobs, F.lit("1996-01-01").cast("timestamp")).select("id", "status", "updated_at")
 
 
-@query("W13_throttle")
+@query("W13_throttle", """with recursive e as (select id, user_id as key, created_at, row_number() over (partition by user_id order by created_at, id) as i from attempts),
+  w as (
+    select distinct key, 0::bigint as i, null::bigint as id, null::timestamp as created_at, []::timestamp[] as held, true as allowed from e
+    union all
+    select key, i, id, created_at, case when len(h) < 2 then list_append(h, created_at) else h end, len(h) < 2
+    from (select e.*, list_filter(w.held, lambda t: epoch_us(e.created_at) - epoch_us(t) < 3 * 86400000000) as h from w join e on e.key is not distinct from w.key and e.i = w.i + 1))
+select id, key, created_at, allowed from w where i > 0""", "attempts")
 def _(v):
     return r.throttle(v.attempts, "user_id", 2, 3 * 86_400)

@@ -80,7 +80,7 @@ def _(v):
     return rows.withColumns({c: F.round(c, 4) for c in ("interval_days", "easiness")})
 
 
-@query("T5_throttle")
+@query("T5_throttle", ORACLE["W13_throttle"].replace("select id, key, created_at, allowed from w", "select id, key, allowed from w"))
 def _(v):
     return _run(v, t.throttle(_arriving(v), "user_id", 2, 3 * 86_400), "append").select("id", "key", "allowed")
 

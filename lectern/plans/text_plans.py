@@ -85,7 +85,16 @@ def _(v):
     return v.questions.select("id", t.table_rows(_text()).alias("r")).select("id", F.size("r").cast("long").alias("n_rows"), F.size(F.get("r", F.lit(0))).cast("long").alias("n_first"))
 
 
-@query("X20_table_summary")
+CUT = "case when length(c) > 40 then substr(c, 1, 37) || '...' else c end"
+
+
+@query("X20_table_summary", rf"""with l as (select id, list_filter(regexp_split_to_array(question_text, '\r?\n'), lambda x: trim(x) <> '' and not regexp_matches(x, '^[\s|:+=-]+$')) as ls from questions),
+  r as (select id, list_transform(ls, lambda x: list_transform(case when contains(x, '|') then string_split(regexp_replace(trim(x), '^\||\|$', '', 'g'), '|') when contains(x, chr(9)) then string_split(x, chr(9)) else string_split(x, ',') end, lambda c: trim(c))) as r from l),
+  n as (select *, len(r) as n, list_max(list_transform(r, lambda x: len(x))) as m from r)
+select id, case when n = 0 then 'Empty table.' else 'Table with ' || n || ' row' || case when n = 1 then '' else 's' end || ' x ' || m || ' column' || case when m = 1 then '' else 's' end
+  || '. Headers: ' || array_to_string(list_transform(r[1], lambda c: case when c = '' then '(blank)' else {CUT} end), ', ') || '.'
+  || case when n > 1 then ' First row: ' || array_to_string(list_transform(r[2], lambda c: {CUT}), ', ') || '.' else '' end
+  || case when n > 2 then ' (+' || (n - 2) || ' more row' || case when n = 3 then '' else 's' end || '.)' else '' end end as summary from n""", Q)
 def _(v):
     return v.questions.select("id", t.table_summary(t.table_rows(_text())).alias("summary"))
 
@@ -137,7 +146,11 @@ def _(v):
     return v.table("pages").select("page_id", t.safe_name(raw).alias("name"))
 
 
-@query("X25_redact")
+@query("X25_redact", r"""with w as (select id, generate_subscripts(string_split(t, ' '), 1) as k, unnest(string_split(t, ' ')) as w from (select id, trim(regexp_replace(coalesce(question_text, ''), '\s+', ' ', 'g')) as t from questions)),
+  c as (select *, trim(w, '<>( ),;:."''') as core from w),
+  p as (select *, instr(core, '@') as spot, length(core) - instr(reverse(core), '.') + 1 as dot, instr(w, core) as place from c),
+  m as (select id, string_agg(case when spot > 1 and contains(core, '.') and dot > spot + 1 and dot < length(core) then substr(w, 1, place - 1) || '[redacted-email]' || substr(w, place + length(core)) else w end, ' ' order by k) as t from p group by id)
+select id, case when length(t) > 500 then substr(t, 1, 500) || '…[truncated]' else t end as text from m""", Q)
 def _(v):
     return v.questions.select("id", t.redact(_text()).alias("text"))
 
