@@ -6,7 +6,7 @@ step is a SELECT over the one before, so that no expression grows with the numbe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.sources.shared import stored
@@ -105,6 +105,12 @@ def stemmed(words: DataFrame) -> DataFrame:
     return stored(out.select(*kept, "stem"))
 
 
+def stem_head(stem: Column) -> Column:
+    """A beginning that every word of a stem has."""
+    less = F.when(F.endswith(stem, F.lit("ble")) | stem.isin(*FORMS.values()), 2).otherwise(1)
+    return F.left(stem, F.greatest(F.lit(1), F.length(stem) - less))
+
+
 def duck_chain(source: str, name: str) -> str:
     """CTEs of the same steps for DuckDB: ``source`` has a column word; ``name`` is the last CTE, with word and stem."""
     parts, have, before = [], {"word"}, source

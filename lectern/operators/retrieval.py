@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lectern.functions.stemming import STOP_WORDS as STEM_STOP_WORDS
-from lectern.functions.stemming import stemmed
+from lectern.functions.stemming import stem_head, stemmed
 from lectern.functions.text import tokens
 from lectern.sources.shared import stored
 
@@ -151,11 +151,11 @@ def _grams(text: Column, n: Column) -> Column:
 def _stem_words(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
     """Words of the vocabulary with a token of an asked stem: word, stem, times.
 
-    A stem but for its last two letters, or its first letter, begins every word that it comes from (a test holds this against many
-    words), so only tokens with such a beginning are stemmed.
+    A stem but for its last letter begins every word that it comes from, or its first letter does; with ``ble`` at its end, or as one of the stemmer's own forms, it
+    is so but for two letters (a test holds this against many words). Only tokens with such a beginning are stemmed.
     """
     inside = vocabulary.select(F.col("word").alias("run"), F.explode(tokens(F.col("word"))).alias("word")).filter(~F.col("word").isin(STEM_STOP_WORDS)).groupBy("run", "word").agg(F.count("*").alias("times"))
-    heads = asked.select(F.expr("left(stem, greatest(1, length(stem) - 2))").alias("head")).distinct()
+    heads = asked.select(stem_head(F.col("stem")).alias("head")).distinct()
     lengths = F.array(*[F.lit(r.n) for r in heads.select(F.length("head").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
     begun = inside.select("word").distinct().select("word", F.explode(lengths).alias("n")).select("word", F.expr("left(word, n)").alias("head")).join(heads, "head", "left_semi").select("word").distinct()
     kinds = stemmed(begun).join(asked.select("stem").distinct(), "stem", "left_semi")
