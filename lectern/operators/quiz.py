@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import diagram_kind, image_list, math_expressions, normal_math, option_list, study_tokens, truncate
+from lectern.functions.text import diagram_kind, image_list, math_expressions, normal_math, option_list, study_tokens, table_rows, table_summary, truncate
 from lectern.sources.shared import stored
 
 from .analytics import blank_to_null
@@ -223,13 +223,43 @@ def references(questions: DataFrame, most: int = 10) -> DataFrame:
     return questions.withColumn("place", place).filter(F.col("place") <= most).select("topic", "place", "id", "year")
 
 
-def study_guide(questions: DataFrame) -> DataFrame:
-    """Q10. One row for each topic: questions, years, key points, references and an example."""
-    points = key_points(questions).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("p"))
-    refs = references(questions).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("r"))
-    total = questions.groupBy("topic").agg(F.count("*").alias("questions"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min_by(truncate(F.col("text"), 200), "id").alias("example"))
-    rows = total.join(points, "topic", "left").join(refs, "topic", "left")
-    return rows.select("topic", "questions", "first_year", "last_year", "example", F.array_join(F.transform("p", lambda x: x["term"]), ",").alias("key_points"), F.array_join(F.transform("r", lambda x: x["id"].cast("string")), ",").alias("references"))
+#: Of a topic's notes: formulas at most, and characters of each; of its practice quiz: questions.
+NOTED_FORMULAS, NOTED_LENGTH, PRACTICE = 3, 80, 5
+
+
+def study_notes(questions: DataFrame) -> DataFrame:
+    """Q10, X19-X21. questions (topic, id, text, year, images_json) -> topic, formulas (the first different ones, newest question first), figures (questions with images) and table (what the first table says)."""
+    newest = F.struct((-F.coalesce("year", F.lit(0))).alias("age"), "id")
+    formula = questions.select("topic", newest.alias("at"), F.posexplode(F.transform(math_expressions(F.col("text")), normal_math)).alias("k", "n")).filter("n <> ''")
+    first = formula.groupBy("topic", "n").agg(F.min(F.struct("at", "k")).alias("at"))
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("at"))).filter(F.col("place") <= NOTED_FORMULAS)
+    cut = F.when(F.length("n") > NOTED_LENGTH, F.concat(F.substring("n", 1, NOTED_LENGTH - 3), F.lit("..."))).otherwise(F.col("n"))
+    formulas = first.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("place", cut.alias("n")))).alias("f")).select("topic", F.transform("f", lambda x: x["n"]).alias("formulas"))
+    rows = table_rows(F.col("text"))
+    tables = questions.filter(F.contains("text", F.lit("|")) | F.contains("text", F.lit("\t"))).select("topic", newest.alias("at"), rows.alias("rows")).filter("size(rows) > 1").groupBy("topic").agg(F.min_by(table_summary(F.col("rows")), "at").alias("table"))
+    figures = questions.groupBy("topic").agg(F.count_if(F.trim(F.coalesce("images_json", F.lit(""))) != "").alias("figures"))
+    return figures.join(formulas, "topic", "left").join(tables, "topic", "left").withColumn("formulas", F.coalesce("formulas", F.array().cast("array<string>")))
+
+
+def study_guide(questions: DataFrame, weak: DataFrame | None = None) -> DataFrame:
+    """Q10. questions (topic, id, document_id, text, year, question_number, options_json, images_json) -> one row for each topic: questions, years, explanation, example, key points, references, notes and a practice quiz.
+
+    Questions without text don't count. The practice quiz is the original quiz (Q3) of the newest questions. ``weak`` lists the topics that a learner is weak in.
+    """
+    usable = questions.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    points = key_points(usable).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("p"))
+    listed = references(usable)
+    refs = listed.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("r"))
+    total = usable.groupBy("topic").agg(F.count("*").alias("questions"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min_by(truncate(F.col("text"), 200), "id").alias("example"))
+    chosen = listed.filter(F.col("place") <= PRACTICE).select(F.col("topic").alias("quiz_id"), F.col("place").alias("position"), "id")
+    fields = usable.select(F.col("topic").alias("quiz_id"), "id", "document_id", "question_number", "text", "options_json", "images_json")
+    practice = build_quiz(fields.join(chosen, ["quiz_id", "id"])).groupBy(F.col("quiz_id").alias("topic")).agg(F.array_sort(F.collect_list(F.struct("position", "item_id", "question", "options", "correct_answer", "explanation"))).alias("practice"))
+    rows = total.join(points, "topic", "left").join(refs, "topic", "left").join(study_notes(usable), "topic", "left").join(practice, "topic", "left")
+    rows = rows.withColumn("weak", F.lit(False)) if weak is None else rows.join(weak.select("topic", F.lit(True).alias("weak")).distinct(), "topic", "left").fillna(False, ["weak"])
+    explanation = F.concat(F.col("topic"), F.lit(": "), F.col("questions").cast("string"), F.when(F.col("questions") == 1, " past question.").otherwise(" past questions."), F.when(F.col("weak"), " A weak topic: take more time for it.").otherwise(""))
+    return rows.select(
+        "topic", "questions", "first_year", "last_year", explanation.alias("explanation"), "example", F.array_join(F.transform("p", lambda x: x["term"]), ",").alias("key_points"),
+        F.array_join(F.transform("r", lambda x: x["id"].cast("string")), ",").alias("references"), "formulas", "figures", "table", "practice")
 
 
 def topic_subject(requests: DataFrame, topics: DataFrame) -> DataFrame:

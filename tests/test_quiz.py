@@ -106,3 +106,22 @@ def test_formulas(spark):
     got = {x.id: x.m for x in rows}
     assert got.pop(len(texts)) == []
     assert got == {i: formulas(t) for i, t in enumerate(texts)}
+
+
+def test_study_guide(spark):
+    kind = "topic string, id long, document_id string, text string, year int, question_number string, options_json string, images_json string"
+    rows = [
+        ("t", 1, "d", "Old $a=1$ paging", 2001, None, None, None),
+        ("t", 2, "d", "New $b = 2$ and $b  =  2$ and $c$ paging", 2020, "7", '["w","x","y","z"]', '["f.png"]'),
+        ("t", 3, "d", "a | b\n1 | 2\n3 | 4", 2010, None, None, " "),
+        ("t", 4, "d", " ", 2022, None, None, '["lost.png"]'),
+        ("t", 5, "d", "$a=1$ $d$ $e$", 1999, None, None, None),
+        ("u", 9, "d", "Alone", None, None, None, None),
+    ]
+    got = {r.topic: r for r in quiz.study_guide(spark.createDataFrame(rows, kind), spark.createDataFrame([("t",)], "topic string")).collect()}
+    t = got["t"]
+    assert (t.questions, t.first_year, t.last_year, t.references, t.figures, t.formulas) == (4, 1999, 2020, "2,3,1,5", 1, ["b = 2", "c", "a=1"])
+    assert t.table == "Table with 3 rows x 2 columns. Headers: a, b. First row: 1, 2. (+1 more row.)"
+    assert t.explanation == "t: 4 past questions. A weak topic: take more time for it." and got["u"].explanation == "u: 1 past question."
+    assert [x.item_id for x in t.practice] == ["quiz-2", "quiz-3", "quiz-1", "quiz-5"] and t.practice[0].options == ["w", "x", "y", "z"] and "paging" in t.key_points
+    assert (got["u"].formulas, got["u"].figures, got["u"].table, len(got["u"].practice)) == ([], 0, None, 1)
