@@ -154,12 +154,12 @@ def _stem_words(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
     A stem but for its last letter begins every word that it comes from, or its first letter does; with ``ble`` at its end, or as one of the stemmer's own forms, it
     is so but for two letters (a test holds this against many words). Only tokens with such a beginning are stemmed.
     """
-    inside = vocabulary.select(F.col("word").alias("run"), F.explode(tokens(F.col("word"))).alias("word")).filter(~F.col("word").isin(STEM_STOP_WORDS)).groupBy("run", "word").agg(F.count("*").alias("times"))
-    heads = asked.select(stem_head(F.col("stem")).alias("head")).distinct()
+    inside = vocabulary.select(F.col("word").alias("run"), F.explode(tokens(F.col("word"))).alias("word")).filter(~F.col("word").isin(STEM_STOP_WORDS))
+    heads = stored(asked.select(stem_head(F.col("stem")).alias("head")).distinct())
     lengths = F.array(*[F.lit(r.n) for r in heads.select(F.length("head").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
     begun = inside.select("word").distinct().select("word", F.explode(lengths).alias("n")).select("word", F.expr("left(word, n)").alias("head")).join(heads, "head", "left_semi").select("word").distinct()
     kinds = stemmed(begun).join(asked.select("stem").distinct(), "stem", "left_semi")
-    return inside.join(kinds, "word").groupBy(F.col("run").alias("word"), "stem").agg(F.sum("times").alias("times"))
+    return inside.join(kinds, "word").groupBy(F.col("run").alias("word"), "stem").agg(F.count("*").alias("times"))
 
 
 def _part_words(vocabulary: DataFrame, patterns: DataFrame) -> DataFrame:
