@@ -39,6 +39,13 @@ DIAGRAM_RULES = [
     ("timeline", ["timeline", "gantt", "roadmap", "chronology"]),
 ]
 
+#: What descriptions of images and tables say, and the width of a table's cell.
+SAYS = {
+    "image": "Undescribed image ", "hash": " (content hash ", "bytes": " bytes; vision unavailable)", "figure": "Figure ", "nameless": "unnamed figure",
+    "table": "Table with ", "headers": ". Headers: ", "blank": "(blank)", "first": " First row: ", "empty": "Empty table.",
+}
+CELL = 40
+
 
 def tokens(text: Column, least: int = 1, stop: list[str] | None = None) -> Column:
     """X23. Lower-case ASCII letters and digits in runs; the study form drops short ones and stop words."""
@@ -145,14 +152,14 @@ def image_description(name: Column, data: Column, given: Column) -> Column:
     """X22. The description given, else one of name, hash and size of the image's bytes."""
     n = F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("unnamed"))
     raw = F.concat(F.concat(n, F.lit(":")).cast("binary"), F.coalesce(data, F.unhex(F.lit(""))))
-    made = F.concat(F.lit("Undescribed image "), n, F.lit(" (content hash "), F.substring(F.sha2(raw, 256), 1, 8), F.lit(", "), F.coalesce(F.octet_length(data), F.lit(0)).cast("string"), F.lit(" bytes; vision unavailable)"))
+    made = F.concat(F.lit(SAYS["image"]), n, F.lit(SAYS["hash"]), F.substring(F.sha2(raw, 256), 1, 8), F.lit(", "), F.coalesce(F.octet_length(data), F.lit(0)).cast("string"), F.lit(SAYS["bytes"]))
     return F.coalesce(F.nullif(F.trim(given), F.lit("")), made)
 
 
 def image_text(name: Column, kind: Column, description: Column) -> Column:
     """X22. ``Figure name (type): description``, with what there is of type and description; a nameless one is ``unnamed figure``."""
     given = lambda x: F.nullif(F.trim(x), F.lit(""))
-    return F.concat(F.lit("Figure "), F.coalesce(given(name), F.lit("unnamed figure")), F.coalesce(F.concat(F.lit(" ("), given(F.lower(kind)), F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(": "), given(description)), F.lit("")))
+    return F.concat(F.lit(SAYS["figure"]), F.coalesce(given(name), F.lit(SAYS["nameless"])), F.coalesce(F.concat(F.lit(" ("), given(F.lower(kind)), F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(": "), given(description)), F.lit("")))
 
 
 def table_rows(text: Column) -> Column:
@@ -165,13 +172,13 @@ def table_rows(text: Column) -> Column:
 def table_summary(rows: Column) -> Column:
     """X20. Size, header and first row of parsed rows, and how many more there are; cells cut at 40 characters."""
     many = lambda n, what: F.concat(n.cast("string"), F.lit(f" {what}"), F.when(n == 1, "").otherwise("s"))
-    cell = lambda c: F.when(F.length(F.trim(c)) > 40, F.concat(F.substring(F.trim(c), 1, 37), F.lit("..."))).otherwise(F.trim(c))
+    cell = lambda c: F.when(F.length(F.trim(c)) > CELL, F.concat(F.substring(F.trim(c), 1, CELL - 3), F.lit("..."))).otherwise(F.trim(c))
     row = lambda k, shown: F.array_join(F.transform(F.get(rows, F.lit(k)), shown), ", ")
     n, columns = F.size(rows), F.array_max(F.transform(rows, lambda r: F.size(r)))
-    head = F.concat(F.lit("Table with "), many(n, "row"), F.lit(" x "), many(columns, "column"), F.lit(". Headers: "), row(0, lambda c: F.when(F.trim(c) == "", "(blank)").otherwise(cell(c))), F.lit("."))
-    first = F.when(n > 1, F.concat(F.lit(" First row: "), row(1, cell), F.lit("."))).otherwise("")
+    head = F.concat(F.lit(SAYS["table"]), many(n, "row"), F.lit(" x "), many(columns, "column"), F.lit(SAYS["headers"]), row(0, lambda c: F.when(F.trim(c) == "", SAYS["blank"]).otherwise(cell(c))), F.lit("."))
+    first = F.when(n > 1, F.concat(F.lit(SAYS["first"]), row(1, cell), F.lit("."))).otherwise("")
     more = F.when(n > 2, F.concat(F.lit(" (+"), many(n - 2, "more row"), F.lit(".)"))).otherwise("")
-    return F.when(F.coalesce(n, F.lit(0)) <= 0, "Empty table.").otherwise(F.concat(head, first, more))
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, SAYS["empty"]).otherwise(F.concat(head, first, more))
 
 
 #: Fixed patterns: marked formulas in the order of the text, and what a line with an equals sign must have besides.

@@ -107,7 +107,9 @@ def sources_for(requests: DataFrame, questions: DataFrame, excluded: DataFrame |
     return fits.withColumn("place", place).filter("place <= n").select("request_id", "id", "place")
 
 
-#: Math notes of an explanation, and characters of each.
+#: What an original quiz's explanation says.
+SAYS = {"source": "Original PYQ ", "number": " (question ", "document": " from document ", "end": " (deterministic fallback; LLM unavailable).", "figures": " Visual reference(s): ", "formulas": " Math expression(s): "}
+#: Math notes of an explanation, and characters of each.
 MATH_NOTES, MATH_NOTE_LENGTH = 2, 120
 
 
@@ -149,10 +151,11 @@ def build_quiz(sources: DataFrame) -> DataFrame:
     options = F.when(F.size(stored_options) == len(LETTERS), stored_options).otherwise(F.array(*[F.lit(f"Option {x}") for x in LETTERS]))
     names = F.transform(_figures(F.col("images_json")), lambda x: F.concat(x["name"], F.when(F.coalesce(x["kind"], F.lit("")) != "", F.concat(F.lit(" ("), x["kind"], F.lit(")"))).otherwise("")))
     number, notes = F.trim(F.coalesce("question_number", F.lit(""))), math_notes(F.col("text"))
+    say = lambda name: F.lit(SAYS[name])
     explanation = F.concat(
-        F.lit("Original PYQ "), F.col("id").cast("string"), F.when(number != "", F.concat(F.lit(" (question "), number, F.lit(")"))).otherwise(""), F.lit(" from document "), F.col("document_id").cast("string"), F.lit(" (deterministic fallback; LLM unavailable)."),
-        F.when(F.size(names) > 0, F.concat(F.lit(" Visual reference(s): "), F.array_join(names, ", "), F.lit("."))).otherwise(""),
-        F.when(notes != "", F.concat(F.lit(" Math expression(s): "), notes, F.lit("."))).otherwise(""))
+        say("source"), F.col("id").cast("string"), F.when(number != "", F.concat(say("number"), number, F.lit(")"))).otherwise(""), say("document"), F.col("document_id").cast("string"), say("end"),
+        F.when(F.size(names) > 0, F.concat(say("figures"), F.array_join(names, ", "), F.lit("."))).otherwise(""),
+        F.when(notes != "", F.concat(say("formulas"), notes, F.lit("."))).otherwise(""))
     return rows.select(
         "quiz_id", "position", F.concat(F.lit("quiz-"), F.col("id").cast("string")).alias("item_id"), F.col("id").alias("source_question_id"), "document_id",
         F.concat("text", F.when(hints != "", F.concat(F.lit(" "), hints)).otherwise("")).alias("question"), options.alias("options"), F.lit(0).alias("correct_answer"), explanation.alias("explanation"))
