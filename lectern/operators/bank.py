@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from .analytics import blank_to_null
 
-#: Filters without a subject that are broadcast at a time.
-FILTER_BLOCK = 5_000
-
 
 def page(df: DataFrame, *order: Column, limit: int = 20, offset: int = 0, most: int = 100) -> DataFrame:
     """F8, S1. A page of an ordered table; limit and offset are clamped. The order must end with a unique column."""
@@ -35,7 +32,7 @@ def metadata_filter(questions: DataFrame, subject=None, year=None, year_min=None
 def metadata_filters(questions: DataFrame, filters: DataFrame) -> DataFrame:
     """F1 for a table of filters (query_id and nullable conditions): one row for each filter and question that fits it.
 
-    Filters are the small side; those with a subject meet their questions by an equi-join.
+    Every filter meets its questions by an equi-join: on subject, else difficulty, else the years that fit.
     """
     keys = ("subject", "year_min", "year_max", "difficulty")
     f = filters.select("query_id", *[F.col(k).alias(f"f_{k}") for k in keys])
@@ -46,13 +43,13 @@ def metadata_filters(questions: DataFrame, filters: DataFrame) -> DataFrame:
         return d.filter(ok).select("query_id", "id")
 
     exact = q.join(f.filter("f_subject is not null"), F.col("subject") == F.col("f_subject"))
-    # A filter without a subject can fit any row: such filters are a stated query set, tested on each row in broadcast blocks.
+    # Without a subject, the difficulty is the key; without both, the years that fit are, of the few that there are.
     free = f.filter("f_subject is null")
-    blocks = -(-free.count() // FILTER_BLOCK)
-    out = rest(exact)
-    for k in range(blocks):
-        out = out.unionByName(rest(q.join(F.broadcast(free.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)), F.coalesce(F.col("f_year_min"), F.col("year")) <= F.col("year"))))
-    return out
+    graded = q.join(free.filter("f_difficulty is not null"), F.col("difficulty") == F.col("f_difficulty"))
+    years = q.select(F.col("year").alias("own_year")).distinct()
+    fits = (F.col("f_year_min").isNull() | (F.col("own_year") >= F.col("f_year_min"))) & (F.col("f_year_max").isNull() | (F.col("own_year") <= F.col("f_year_max")))
+    dated = q.join(free.filter("f_difficulty is null").join(years, fits), F.col("year").eqNullSafe(F.col("own_year")))
+    return rest(exact).unionByName(rest(graded)).unionByName(rest(dated))
 
 
 def has_topic(questions: DataFrame, links: DataFrame, topics: DataFrame | None = None, names: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:

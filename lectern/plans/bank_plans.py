@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import bank as b
+from lectern.sources.shared import numbered
 
 from .base import folder, query
 
@@ -150,10 +151,8 @@ def _(v):
 
 @query("A9_topic_list", "select id, questions, row_number() over (order by questions desc, id) as place from (select t.id, count(l.question_id) as questions from topics t left join question_topics l on l.topic_id = t.id group by all)", "question_topics", "topics")
 def _(v):
-    from pyspark.sql import Window
-
-    # A list of topics is ordered as a whole; the counting before it is not.
-    return b.topics_with_counts(v.topics, v.question_topics).select("id", "questions", F.row_number().over(Window.orderBy(F.desc("questions"), "id")).alias("place"))
+    counted = b.topics_with_counts(v.topics, v.question_topics).select("id", "questions")
+    return numbered(counted, F.desc("questions"), F.col("id"))
 
 
 @query("J5_exclude_ids", "select id from questions where id not in (select question_id from vectors where label < 3)", "questions", "vectors")
