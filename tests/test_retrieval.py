@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import stemming
 from lectern.operators import retrieval
+from lectern.plans import registry
 
 V = "aeiouy"
 
@@ -180,6 +181,22 @@ def test_relevance_by_class_equals_listed_pairs(spark):
     assert sum(x.queries for x in by) == 90
 
 
+def test_relevance_lists_every_row_of_a_class(spark):
+    r = random.Random(9)
+    classes = [(i, r.choice([0, 0, 0, 1, 2])) for i in range(300)] + [(3, 4), (300, None), (301, 7)]
+    queries = [(q, r.choice([0, 1, 2, 4, 9, None])) for q in range(40)]
+    got = retrieval.relevant_rows(spark.createDataFrame(classes, "id long, label int"), spark.createDataFrame(queries, "query_id long, label int"), 8)
+    assert got.columns == ["query_id", "id"]
+    assert sorted(map(tuple, got.collect())) == sorted((q, i) for q, a in queries for i, b in classes if a is not None and a == b)
+
+
+def test_relevance_query_lists_ids(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()
+    got = registry.QUERIES["S9_relevance"](spark, sf).collect()
+    assert sorted((x.query_id, x.id) for x in got) == sorted((q.vec_id, v.vec_id) for q in rows if q.vec_id % 100 == 0 for v in rows if v.label is not None and q.label == v.label)
+
+
 def test_sources_of_fused_lists(spark):
     lists = spark.createDataFrame([("x", 0, "vector", "q1", 1), ("x", 0, "vector", "q2", 2), ("x", 1, "keyword", "q2", 1), ("x", 1, "keyword", "q3", 2)], "query_id string, variant int, source string, id string, rank int")
     rows = retrieval.fuse_lists(lists, 60).orderBy("rank").collect()
