@@ -29,20 +29,28 @@ def hashes(w):
     return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def grams(w, h, buckets: int):
-    """Bucket numbers of the n-grams of a word array and its hashes. A pair's hash comes from those of its words."""
-    one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)))
-    ends = F.transform(w, lambda x: F.pmod(F.xxhash64(F.right(x, F.lit(2)), F.lit(1)), F.lit(buckets)))
-    pairs = F.transform(F.arrays_zip(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))).alias("a"), F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))).alias("b")), lambda x: F.pmod(F.xxhash64(x["a"], x["b"]), F.lit(buckets)))
-    return F.concat(one, ends, pairs)
+def ending(w):
+    """The hash of a word's last two characters."""
+    return F.xxhash64(F.right(w, F.lit(2)), F.lit(1))
+
+
+def counts(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """docs (doc_id, text), good (distinct doc_id, few) -> bucket, raw, trusted: n-grams of all documents and of the good ones. Words become rows, as those are hashed and counted in generated code and lambdas over arrays aren't."""
+    seen = docs.select("doc_id", words(F.col("text")).alias("w")).join(F.broadcast(good.withColumn("trusted", F.lit(1))), "doc_id", "left")
+    after = F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1)))
+    seen = seen.select("trusted", F.explode(F.arrays_zip(F.col("w").alias("a"), after.alias("b"))).alias("x")).select("trusted", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    place = lambda h: F.pmod(h, F.lit(buckets))
+    # The last word has no pair; xxhash64 would skip the null.
+    pair = F.when(F.col("b").isNotNull(), place(F.xxhash64(F.xxhash64("a"), F.xxhash64("b"))))
+    seen = seen.select("trusted", place(F.xxhash64("a")).alias("one"), place(ending(F.col("a"))).alias("end"), pair.alias("pair"))
+    seen = seen.select("trusted", F.explode(F.array("one", "end", "pair")).alias("bucket")).filter("bucket is not null")
+    return seen.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> list[float]:
     """The log ratio of every bucket, from the counts of all documents and of the trusted sample."""
-    good = labels.filter("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_docs).withColumn("trusted", F.lit(1))
-    seen = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("h", hashes(F.col("w"))).select("doc_id", grams(F.col("w"), F.col("h"), buckets).alias("g"))
-    seen = seen.join(F.broadcast(good), "doc_id", "left").select("trusted", F.explode("g").alias("bucket"))
-    rows = seen.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted")).collect()
+    good = labels.filter("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_docs)
+    rows = counts(docs, good, buckets).collect()
     raw_all, trusted_all = sum(r.raw for r in rows) + buckets, sum(r.trusted for r in rows) + buckets
     out = [0.0] * buckets
     if trusted_all > buckets:
@@ -81,11 +89,17 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """docs -> the base columns, llr (mean log ratio) and kept."""
-    d = base_columns(docs).withColumn("g", grams(F.col("w"), F.col("h"), len(ratios)))
+    d = base_columns(docs)
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    total = F.aggregate("g", F.lit(0.0), lambda a, b: a + F.get(table, b.cast("int")))
-    d = d.withColumn("llr", F.when(F.size("g") > 0, total / F.size("g")).otherwise(0.0))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("w", "h", "g")
+    ratio = lambda h: F.get(table, F.pmod(h, F.lit(len(ratios))).cast("int"))
+    # A pair's hash comes from those of its words.
+    pairs = F.expr("case when size(h) < 2 then array() else transform(slice(h, 2, size(h) - 1), (x, i) -> xxhash64(h[i], x)) end")
+    total = F.aggregate("h", F.lit(0.0), lambda a, x: a + ratio(x))
+    total = F.aggregate("w", total, lambda a, x: a + ratio(ending(x)))
+    total = F.aggregate(pairs, total, lambda a, x: a + ratio(x))
+    n = 2 * F.size("w") + F.greatest(F.size("w") - 1, F.lit(0))
+    d = d.withColumn("llr", F.when(F.size("w") > 0, total / n).otherwise(0.0))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("w", "h")
 
 
 def op10_quality_rules(spark, sf_dir):
