@@ -15,7 +15,7 @@ ODD = f"""select * replace (
     from '{SF}/documents.parquet'"""
 
 
-@pytest.mark.parametrize("name", ["Q10_study_guide"])
+@pytest.mark.parametrize("name", ["Q9_prompts", "Q10_study_guide"])
 def test_odd_documents(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"copy ({ODD}) to '{tmp_path}/documents.parquet' (format parquet)")
