@@ -161,6 +161,21 @@ def test_vectors_against_all_pairs(spark, monkeypatch, block, metric):
         assert [rows[name(i)][k + 1][1] for k in range(6)] == [None if np.isnan(score[k]) else pytest.approx(score[k], abs=1e-5) for k in order]
 
 
+def test_blocks_of_queries_go_out_in_groups_and_are_not_repeated(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "BLOCK", 5)
+    r = np.random.default_rng(4)
+    corpus = spark.createDataFrame([(i, r.normal(size=6).tolist()) for i in range(90)], "id long, vector array<double>").repartition(3)
+    queries = corpus.filter("id % 3 = 0").select(F.col("id").alias("query_id"), "vector")
+    want = sorted(map(tuple, retrieval.vector_search(corpus, queries, 4).collect()))
+    plan = retrieval.vector_search(corpus, queries, 4)._jdf.queryExecution().toString()
+    assert len(want) == 120 and "Generate" not in plan and "Exchange hashpartitioning(part" not in plan
+    monkeypatch.setattr(retrieval, "GROUP_BYTES", 500)
+    few = retrieval.vector_search(corpus, queries, 4)
+    assert few._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") > 2
+    assert sorted(map(tuple, few.collect())) == want
+
+
 def test_no_vectors(spark):
     one = spark.createDataFrame([(1, [1.0])], "id long, vector array<float>")
     asked = one.withColumnRenamed("id", "query_id")
