@@ -129,6 +129,33 @@ def test_keyword_search_against_every_text(spark):
     assert {(x.query_id, x.id): x.score for x in got.collect()} == pytest.approx(expected(texts, queries))
 
 
+@pytest.mark.parametrize("postings, block, words", [(2_000_000, 20_000, 500_000), (40, 7, 0)])
+def test_best_texts_of_each_query(spark, monkeypatch, postings, block, words):
+    for name, n in (("POSTINGS", postings), ("KEYWORD_BLOCK", block), ("WORDS", words), ("GROUP_BYTES", 100 if words == 0 else 10**7)):
+        monkeypatch.setattr(retrieval, name, n)
+    kept = []
+    monkeypatch.setattr(retrieval, "stored", lambda df, f=retrieval.stored: kept.append(f(df)) or kept[-1])
+    r = random.Random(6)
+    bits = ["process", "processing", "deadlock", "running", "general", "the", "of", "x.y", "rare%d"]
+    day = lambda: r.choice([None, "2024-01-01", "2024-01-02", "2024-01-03"])
+    rows = [(i, " ".join(r.choice(bits) for _ in range(r.randrange(1, 30))).replace("%d", str(r.randrange(40))), day()) for i in range(300)]
+    asked = ["process", "general deadlock", "running process", "deadlock the", "of the", "the", "x.y of", "rare1", "rare2 general", "general running deadlock", "rare1 rare2 rare3", "zzz", "ock"]
+    queries = {f"q{n}-{i}": a for i, a in enumerate(asked) for n in range(4)}
+    corpus = spark.createDataFrame(rows, "id long, text string, created_at string").repartition(5)
+    got = {}
+    for x in retrieval.keyword_search(corpus, spark.createDataFrame(list(queries.items()), "query_id string, query string"), 4).collect():
+        got.setdefault(x.query_id, {})[x.rank] = (x.id, pytest.approx(x.score, abs=2e-6))
+    dates, score = {i: d for i, _, d in rows}, {}
+    for (q, i), n in expected({i: t for i, t, _ in rows}, dict(enumerate(asked))).items():
+        score.setdefault(asked[q], []).append((i, n))
+    newest = lambda h: (-h[1], *[-int(c) for c in (dates[h[0]] or "0-0-0").split("-")], h[0])
+    want = {q: dict(enumerate(sorted(score[a], key=newest)[:4], 1)) for q, a in queries.items() if a in score}
+    assert want == got and len(want) > 40
+    # What goes on from the texts is the best of each different query, not every pair.
+    pairs = [df for df in kept if {"no", "id"} <= set(df.columns)]
+    assert len(pairs) == 1 and pairs[0].count() <= 4 * len(asked)
+
+
 def test_ties_go_to_the_newest(spark):
     rows = [(1, "alpha", "2024-01-01"), (2, "alpha", "2024-01-03"), (3, "alpha", None), (4, "alpha", "2024-01-03")]
     corpus = spark.createDataFrame(rows, "id long, text string, created_at string")
