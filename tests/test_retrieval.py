@@ -203,6 +203,15 @@ def test_blocks_of_queries_go_out_in_groups_and_are_not_repeated(spark, monkeypa
     assert sorted(map(tuple, few.collect())) == want
 
 
+def test_reranking_reads_texts_of_hits_alone(spark):
+    corpus = spark.createDataFrame([(i, f"text {i} alpha") for i in range(50)], "id long, text string")
+    queries = spark.createDataFrame([("a", "alpha"), ("b", "beta")], "query_id string, query string")
+    hits = spark.createDataFrame([("a", 3, 0.5, 2), ("a", 4, 0.55, 1), ("a", 99, 0.52, 3), ("b", 3, 0.1, 1)], "query_id string, id long, score double, rank int")
+    out = retrieval.rerank(hits, queries, corpus, retrieval.exact_boost())
+    assert sorted((x.query_id, x.rank, x.id, x.score) for x in out.collect()) == [("a", 1, 4, 0.65), ("a", 2, 3, 0.6), ("a", 3, 99, 0.52), ("b", 1, 3, 0.1)]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_vectors(spark):
     one = spark.createDataFrame([(1, [1.0])], "id long, vector array<float>")
     asked = one.withColumnRenamed("id", "query_id")
